@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,14 +13,18 @@ from salesmart.sinks.tables import read_table, write_replace
 _SETTING = "spark.checkpoint.dir"
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="salesmart-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the cluster's shared checkpoint folder."""
     folder = spark.conf.get(_SETTING, None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="salesmart-")
-        spark.conf.set(_SETTING, folder)
+        folder = _local_folder()
     return f"{folder}/salesmart/{name}-{uuid.uuid4().hex}"
 
 

@@ -9,6 +9,9 @@ from salesmart.operators.staging import stg_transactions
 from salesmart.schemas import RAW_SALES
 from salesmart.sources.files import CSV_OPTIONS, SALES_FILES
 
+# The day at the start of a file name; the second alternative swallows other names.
+_FILE_DAY = r"^(\d{4})(\d{2})(\d{2})_.*$|^.*$"
+
 
 def landed_sales(
     spark: SparkSession, landing: str, archive: str | None = None, files: str = SALES_FILES
@@ -28,9 +31,8 @@ def landed_sales(
     )
     if archive is not None:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    day = F.regexp_extract("_metadata.file_name", r"^(\d{4})(\d{2})(\d{2})_", 0)
-    iso = F.regexp_replace(day, r"^(\d{4})(\d{2})(\d{2})_$", "$1-$2-$3")
-    return reader.csv(landing).withColumn("load_date", iso.try_cast("date"))
+    day = F.regexp_replace("_metadata.file_name", _FILE_DAY, "$1-$2-$3")
+    return reader.csv(landing).withColumn("load_date", day.try_cast("date"))
 
 
 def ingest_available_now(
