@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -26,11 +27,25 @@ def write_periods(df: DataFrame, path: str, period: str, cluster_by: Sequence[st
     adaptive execution cut up a period that outgrows one task.  Rows are sorted
     within files so that Parquet statistics can skip row groups by ``cluster_by``.
     """
-    (
-        df.hint("rebalance", period)
-        .sortWithinPartitions(period, *cluster_by)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(period)
-        .parquet(path)
-    )
+    with _uncoalesced(df.sparkSession):
+        (
+            df.hint("rebalance", period)
+            .sortWithinPartitions(period, *cluster_by)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(period)
+            .parquet(path)
+        )
+
+
+@contextmanager
+def _uncoalesced(spark: SparkSession) -> Iterator[None]:
+    """Merging small shuffle partitions cannot lower the number of files when each
+    period is whole already; it would only leave many periods to few tasks."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
