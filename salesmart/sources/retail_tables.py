@@ -6,7 +6,7 @@ invoice and customer numbers, returns, unreadable dates, zero prices.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesmart.schemas import UNIT_PRICE
@@ -32,13 +32,29 @@ SUFFIXES = [
 ]
 
 
+def _invoice_time_text(time: Column) -> Column:
+    """month/day/year hour:minute of a zoneless time.  (``date_format`` would take it
+    through the session time zone.)"""
+    return F.concat(
+        F.month(time),
+        F.lit("/"),
+        F.day(time),
+        F.lit("/"),
+        F.lpad(F.year(time).cast("string"), 4, "0"),
+        F.lit(" "),
+        F.hour(time),
+        F.lit(":"),
+        F.lpad(F.minute(time).cast("string"), 2, "0"),
+    )
+
+
 def raw_sales(spark: SparkSession, tables: str) -> DataFrame:
     """Raw sales from the Parquet tables in the folder ``tables``.
 
-    No join carries a broadcast hint: Spark broadcasts a side only below its size
-    threshold.  The others sort-merge on scanned tables, where adaptive execution
-    splits the tasks of a hot order or part.  Texts are built after the joins, from
-    the narrow keys.
+    Line items meet their orders in a sort-merge join, since neither is ever a small
+    side; adaptive execution splits the tasks of a hot order.  No join is told to
+    broadcast: Spark does so below its size threshold only.  Texts are built after
+    the joins, from the narrow keys.
     """
 
     def table(name: str) -> DataFrame:
@@ -51,6 +67,7 @@ def raw_sales(spark: SparkSession, tables: str) -> DataFrame:
     )
     lines = (
         table("lineitem")
+        .hint("merge")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
     )
@@ -58,7 +75,7 @@ def raw_sales(spark: SparkSession, tables: str) -> DataFrame:
     order, part = F.col("o_orderkey"), F.col("p_partkey")
     returned = F.when(F.col("l_returnflag") == "R", "C").otherwise("")
     quantity = F.col("l_quantity").cast("bigint")
-    minutes = F.make_dt_interval(mins=(order % 1440).cast("int"))
+    time = F.col("o_orderdate") + F.make_dt_interval(mins=(order % 1440).cast("int"))
     suffix = F.get(F.array(*map(F.lit, SUFFIXES)), (part % 17).cast("int"))
     return lines.select(
         F.when(order % 97 != 0, F.concat(returned, order.cast("string"))).alias("InvoiceNo"),
@@ -66,7 +83,7 @@ def raw_sales(spark: SparkSession, tables: str) -> DataFrame:
         F.concat("p_name", F.lit(" "), suffix).alias("Description"),
         F.when(order % 31 == 0, -quantity).otherwise(quantity).alias("Quantity"),
         F.when(order % 53 == 0, "not a date")
-        .otherwise(F.date_format(F.col("o_orderdate") + minutes, "M/d/yyyy H:mm"))
+        .otherwise(_invoice_time_text(time))
         .alias("InvoiceDate"),
         F.when(part % 41 == 0, 0)
         .otherwise(F.col("p_retailprice"))

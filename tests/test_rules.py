@@ -1,0 +1,81 @@
+from itertools import product
+
+import pytest
+from pyspark.sql import functions as F
+
+from salesmart.functions.rules import product_category, rfm_code, rfm_segment
+from salesmart.operators.products import dim_products
+
+DESCRIPTIONS = {
+    "SCENTED CANDLE": "Candles",
+    "Candle in a Bag": "Candles",
+    "lunch bag": "Bags",
+    "JUMBO SACK": "Bags",
+    "showcase bag": "Bags",
+    "storage Box": "Boxes & Cases",
+    "pencil case": "Boxes & Cases",
+    "coffee MUG": "Mugs & Cups",
+    "cupboard": "Mugs & Cups",
+    "heart of gold": "Heart Items",
+    "Christmas tree": "Christmas",
+    "kitchen scale": "Kitchenware",
+    "wall art": "Wall Art",
+    "wall  art": "Other",
+    "poster": "Wall Art",
+    "vintage sign": "Vintage",
+    "pen holder": "Holders & Stands",
+    "stand": "Holders & Stands",
+    "plain": "Other",
+    "": "Other",
+    None: "Other",
+}
+
+
+def test_categories(spark):
+    texts = spark.createDataFrame([(text,) for text in DESCRIPTIONS], "text string")
+    found = texts.select("text", product_category(F.col("text")).alias("category")).collect()
+    assert {row.text: row.category for row in found} == DESCRIPTIONS
+
+
+def test_one_description_per_product(spark):
+    stg = spark.createDataFrame(
+        [("A", "red mug"), ("A", "blue bag"), ("A", None), ("B", None), (None, "box")],
+        "stock_code string, description string",
+    )
+    assert {tuple(row) for row in dim_products(stg).collect()} == {
+        ("A", "blue bag", "Bags"),
+        ("B", None, "Other"),
+        (None, "box", "Boxes & Cases"),
+    }
+
+
+def segment(r, f, m):
+    if min(r, f, m) >= 4:
+        return "Champions"
+    if min(r, f, m) >= 3:
+        return "Loyal Customers"
+    if r >= 4 and min(f, m) >= 2:
+        return "Potential Loyalists"
+    if r >= 4 and max(f, m) <= 1:
+        return "New Customers"
+    if r >= 3 and max(f, m) <= 2:
+        return "Promising"
+    if r <= 2 and min(f, m) >= 3:
+        return "At Risk"
+    if max(r, f, m) <= 2:
+        return "Hibernating"
+    return "Other"
+
+
+def test_segment_of_every_score(spark):
+    scores = spark.createDataFrame(list(product(range(1, 6), repeat=3)), "r long, f long, m long")
+    rfm = F.col("r"), F.col("f"), F.col("m")
+    rows = scores.select("r", "f", "m", rfm_code(*rfm).alias("code"), rfm_segment(*rfm).alias("s"))
+    for row in rows.collect():
+        assert row.code == f"{row.r}{row.f}{row.m}"
+        assert row.s == segment(row.r, row.f, row.m)
+
+
+@pytest.mark.parametrize("score", [(1, 4, 4), (2, 5, 5)])
+def test_a_rule_below_a_wider_one_never_applies(score):
+    assert segment(*score) == "At Risk"
