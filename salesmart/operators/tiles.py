@@ -10,11 +10,12 @@ statistics, found here by narrowing a bracket around each of them:
    which tells for certain which part holds the wanted rank,
 3. once few enough rows are left inside, they are fetched and the rank read off.
 
-Each step is a plain scan with map-side aggregation: nothing is shuffled but
-counters, ties cannot make a hot task, and a bad sample costs a further round but
-never a wrong answer.  What reaches the driver is bounded by the two constants
-below whatever the size of the table.  Scoring then compares each row with k-1
-constants, which Spark fuses into the stage that reads the table.
+Each step is a plain scan, for all measures at once, with map-side aggregation:
+nothing is shuffled but counters, ties cannot make a hot task, and a bad sample
+costs a further round but never a wrong answer.  What reaches the driver is
+bounded by the two constants below whatever the size of the table.  Scoring then
+compares each row with k-1 constants, which Spark fuses into the stage that reads
+the table.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass, replace
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_KEYS = 10_000  # sampled keys per bracket and round
-FETCH_KEYS = 10_000  # rows that may be left in all brackets of a measure at the end
+FETCH_KEYS = 10_000  # rows that may be left inside the brackets of a measure at the end
 MAX_ROUNDS = 100  # a round divides what is left by about 25; only equal keys never part
 
 Key = tuple[Any, Any]  # (value, id)
@@ -59,9 +60,10 @@ class _Bracket:
         size = len(sample)
         if not size:
             return []
-        middle = (self.rank - self.below) / self.inside * size
+        upto_rank = (self.rank - self.below) / self.inside * size  # expected sampled keys
         margin = min(2 * size**0.5 + 1, size / 4)
-        return [sample[max(0, int(middle - margin))], sample[min(size - 1, int(middle + margin))]]
+        low, high = int(upto_rank - margin) - 1, int(upto_rank + margin)
+        return [sample[max(0, low)], sample[min(size - 1, high)]]
 
     def narrow(self, counts: dict[Key, int]) -> _Bracket:
         """The smallest bracket that the counted keys prove to hold the rank."""
@@ -76,6 +78,51 @@ class _Bracket:
         return best
 
 
+@dataclass
+class _Search:
+    """The brackets around all tile ends of one measure."""
+
+    value: Column
+    ident: Column
+    brackets: list[_Bracket]
+
+    @property
+    def spans(self) -> dict[tuple[Key | None, Key | None], int]:
+        return {b.span: b.inside for b in self.brackets}
+
+    @property
+    def left(self) -> int:
+        return sum(self.spans.values())
+
+    def up_to(self, key: Key) -> Column:
+        value, ident = map(F.lit, key)
+        return (self.value < value) | ((self.value == value) & (self.ident <= ident))
+
+    def inside(self) -> Column:
+        def one(low: Key | None, high: Key | None) -> Column:
+            above = F.lit(True) if low is None else ~self.up_to(low)
+            return above if high is None else above & self.up_to(high)
+
+        return reduce(or_, (one(*span) for span in self.spans))
+
+    def narrow(self, counts: dict[Key, int]) -> None:
+        self.brackets = [b.narrow(counts) for b in self.brackets]
+
+    def found(self, keys: list[Key]) -> list[Key]:
+        """The keys at the wanted ranks, given all keys inside the brackets."""
+        ends = []
+        for bracket in self.brackets:
+            candidates = bracket.slice(keys)
+            if len(candidates) != bracket.inside:
+                raise RuntimeError("the table changed between two reads; pass a stored table")
+            ends.append(candidates[bracket.rank - bracket.below - 1])
+        return ends
+
+    def tile(self, ends: list[Key]) -> Column:
+        first = F.lit(1).cast("bigint")
+        return sum(((~self.up_to(key)).cast("bigint") for key in ends), start=first)
+
+
 def exact_ntiles(
     df: DataFrame, measures: dict[str, Column], id_column: str, tiles: int = 5
 ) -> DataFrame:
@@ -84,79 +131,57 @@ def exact_ntiles(
     Rows are ordered by (measure, id_column), both ascending and never NULL, and
     ``id_column`` must be unique.  ``df`` is read several times: pass a stored table.
     """
-    total = _row_count(df, measures, id_column)
-    columns = {}
-    for name, measure in measures.items():
-        ends = _tile_ends(total, tiles)
-        keys = _keys_at(df, measure, F.col(id_column), ends, total)
-        columns[name] = reduce(
-            lambda tile, key: tile + (~_up_to(measure, F.col(id_column), key)).cast("bigint"),
-            keys,
-            F.lit(1).cast("bigint"),
-        )
-    return df.withColumns(columns)
+    ident = F.col(id_column)
+    total = _row_count(df, [ident, *measures.values()])
+    ranks = _tile_ends(total, tiles)
+    searches = [
+        _Search(measure, ident, [_Bracket(rank, None, None, 0, total) for rank in ranks])
+        for measure in measures.values()
+    ]
+    ends = _close_in(df, searches) if ranks else [[] for _ in searches]
+    return df.withColumns(
+        {name: search.tile(keys) for name, search, keys in zip(measures, searches, ends)}
+    )
 
 
 def _tile_ends(total: int, tiles: int) -> list[int]:
     """Rank of the last row of each tile but the last: the first tiles are the larger ones."""
     small, larger = divmod(total, tiles)
     ends = (small * tile + min(tile, larger) for tile in range(1, tiles))
-    return [end for end in ends if 0 < end < total]
+    return sorted({end for end in ends if 0 < end < total})
 
 
-def _row_count(df: DataFrame, measures: dict[str, Column], id_column: str) -> int:
-    complete = F.col(id_column).isNotNull()
-    for measure in measures.values():
-        complete = complete & measure.isNotNull()
+def _row_count(df: DataFrame, columns: list[Column]) -> int:
+    complete = reduce(and_, (column.isNotNull() for column in columns))
     total, usable = df.agg(F.count(F.lit(1)), F.count_if(complete)).first()
     if usable != total:
-        raise ValueError(f"{total - usable} rows have a NULL measure or {id_column}")
+        raise ValueError(f"{total - usable} rows have a NULL measure or id")
     return total
 
 
-def _up_to(value: Column, ident: Column, key: Key) -> Column:
-    return (value < F.lit(key[0])) | ((value == F.lit(key[0])) & (ident <= F.lit(key[1])))
-
-
-def _inside(value: Column, ident: Column, brackets: list[_Bracket]) -> Column:
-    def one(low: Key | None, high: Key | None) -> Column:
-        above = F.lit(True) if low is None else ~_up_to(value, ident, low)
-        return above if high is None else above & _up_to(value, ident, high)
-
-    return reduce(or_, (one(*span) for span in {b.span for b in brackets}))
-
-
-def _keys_at(
-    df: DataFrame, value: Column, ident: Column, ranks: list[int], total: int
-) -> list[Key]:
-    """The keys of the rows with the given 1-based ranks."""
-    brackets = [_Bracket(rank, None, None, 0, total) for rank in ranks]
-    if not brackets:
-        return []
+def _close_in(df: DataFrame, searches: list[_Search]) -> list[list[Key]]:
+    """The keys at the ranks that each search is after."""
 
-    def fetch(fraction: float | None = None, seed: int = 0) -> list[Key]:
-        rows = df.where(_inside(value, ident, brackets))
+    def fetch(wanted: list[_Search], fraction: float | None = None, seed: int = 0):
+        rows = df.where(reduce(or_, (search.inside() for search in wanted)))
         if fraction is not None:
             rows = rows.sample(fraction=fraction, seed=seed)
-        return sorted((row[0], row[1]) for row in rows.select(value, ident).collect())
-
-    turn = 0
-    while (left := sum({b.span: b.inside for b in brackets}.values())) > FETCH_KEYS:
-        if turn == MAX_ROUNDS:
-            raise ValueError("too many rows share one key; the id column must be unique")
-        spans = len({b.span for b in brackets})
-        sample = fetch(min(1.0, SAMPLE_KEYS * spans / left), seed=turn)
-        cuts = sorted({key for b in brackets for key in b.suggest(b.slice(sample))})
-        if cuts:
-            counted = df.agg(*(F.count_if(_up_to(value, ident, key)) for key in cuts)).first()
-            brackets = [b.narrow(dict(zip(cuts, counted))) for b in brackets]
-        turn += 1
-
-    keys = fetch()
-    found = []
-    for bracket in brackets:
-        candidates = bracket.slice(keys)
-        if len(candidates) != bracket.inside:
-            raise RuntimeError("the table changed between two reads; pass a stored table")
-        found.append(candidates[bracket.rank - bracket.below - 1])
-    return found
+        rows = rows.select(wanted[0].ident, *(search.value for search in wanted)).collect()
+        return [sorted((row[i], row[0]) for row in rows) for i, _ in enumerate(wanted, start=1)]
+
+    for turn in range(MAX_ROUNDS):
+        wide = [s for s in searches if s.left > FETCH_KEYS + len(s.brackets)]
+        if not wide:
+            return [s.found(keys) for s, keys in zip(searches, fetch(searches))]
+        spans = sum(len(search.spans) for search in wide)
+        share = SAMPLE_KEYS * spans / sum(search.left for search in wide)
+        cuts = [
+            sorted({key for b in search.brackets for key in b.suggest(b.slice(sample))})
+            for search, sample in zip(wide, fetch(wide, min(1.0, share), seed=turn))
+        ]
+        tests = [search.up_to(key) for search, keys in zip(wide, cuts) for key in keys]
+        if tests:
+            counts = iter(df.agg(*map(F.count_if, tests)).first())
+            for search, keys in zip(wide, cuts):
+                search.narrow(dict(zip(keys, counts)))
+    raise ValueError("too many rows share one key; the id column must be unique")
