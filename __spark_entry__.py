@@ -22,7 +22,7 @@ from salesmart.plans.scratch import scratch_path, stored  # noqa: E402
 from salesmart.plans.sizing import fit_shuffles  # noqa: E402
 from salesmart.sinks.tables import read_table, write_periods  # noqa: E402
 from salesmart.sources import retail_tables  # noqa: E402
-from salesmart.sources.files import CSV_OPTIONS, read_raw_sales  # noqa: E402
+from salesmart.sources.files import CSV_FORMAT, read_raw_sales  # noqa: E402
 from salesmart.streaming.landing import ingest_available_now  # noqa: E402
 
 AS_OF = date(2001, 8, 2)
@@ -59,7 +59,7 @@ def _customers(stg: DataFrame) -> DataFrame:
 def raw_sales_csv(spark: SparkSession, tables: str) -> DataFrame:
     """All raw sales, written as CSV and read back with the landed-file reader."""
     path = scratch_path(spark, "raw_sales_csv")
-    _raw(spark, tables).write.options(**CSV_OPTIONS).csv(path)
+    _raw(spark, tables).write.options(**CSV_FORMAT).csv(path)
     return read_raw_sales(spark, path)
 
 
@@ -75,7 +75,7 @@ def ingest_landed(spark: SparkSession, tables: str) -> DataFrame:
     landing, target, checkpoint = (
         scratch_path(spark, name) for name in ("landing", "staging", "checkpoint")
     )
-    _raw(spark, tables).write.options(**CSV_OPTIONS).csv(landing)
+    _raw(spark, tables).write.options(**CSV_FORMAT).csv(landing)
     for _ in range(2):
         ingest_available_now(spark, landing, target, checkpoint, files="*.csv")
     return read_table(spark, target, schemas.STG_TRANSACTIONS_LOADED).drop("load_date")

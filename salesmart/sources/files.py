@@ -12,18 +12,16 @@ from salesmart.schemas import CATEGORY_NAMES, RAW_SALES
 SALES_FILE = "{day:%Y%m%d}_sales.csv"
 SALES_FILES = "*_sales.csv"
 
-# Comma-separated with one header row; a quote inside quotes is doubled.  A row that
-# does not fit the schema stops the job, where the default would turn a bad number into
-# NULL and let the quality filters drop the row unseen.  Column pruning is off so that
-# a bad value is noticed even by a query that does not read its column.
-CSV_OPTIONS = {
-    "header": "true",
-    "sep": ",",
-    "quote": '"',
-    "escape": '"',
-    "mode": "FAILFAST",
-    "columnPruning": "false",
-}
+# Comma-separated, one header row, a quote inside quotes is doubled.
+CSV_FORMAT = {"header": "true", "sep": ",", "quote": '"', "escape": '"'}
+
+# A row that does not fit the schema stops the job, where the default would turn a bad
+# number into NULL and let the quality filters drop the row unseen.  (Staging reads both
+# number columns.)  The parser takes all columns so that a row of the wrong width is
+# noticed whichever columns a query reads.
+# A bare empty field is NULL, a quoted one is an empty text: by default Spark takes both
+# for NULL, unless the mark for NULL is something else, here a text that cannot occur.
+CSV_OPTIONS = {**CSV_FORMAT, "mode": "FAILFAST", "columnPruning": "false", "nullValue": "\0"}
 
 
 def read_raw_sales(spark: SparkSession, path: str, day: date | None = None) -> DataFrame:

@@ -15,7 +15,13 @@ from salesmart.plans.session import local_session  # noqa: E402
 def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("scratch")
     session = local_session(
-        8, **{"spark.driver.memory": "6g", "spark.checkpoint.dir": str(folder)}
+        8,
+        **{
+            "spark.driver.memory": "6g",
+            "spark.checkpoint.dir": str(folder),
+            "spark.sql.maxMetadataStringLength": "10000",  # whole filters in plans
+            "spark.sql.debug.maxToStringFields": "1000",
+        },
     )
     yield session
     session.stop()
