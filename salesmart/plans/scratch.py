@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from salesmart.sinks.tables import read_table, write_replace
 
 _SETTING = "spark.checkpoint.dir"
+_handed_out: list[str] = []
 
 
 @cache
@@ -25,13 +26,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
         folder = _local_folder()
-    return f"{folder}/salesmart/{name}-{uuid.uuid4().hex}"
+    path = f"{folder}/salesmart/{name}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what lies at the paths handed out so far, once no frame reads them any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _handed_out:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
-    For results that several jobs read.  A stored table outlives the executors that
+    For results that several jobs read; ``release`` deletes them.  A stored table outlives the executors that
     made it, and unlike a checkpointed frame keeps column pruning, filter pushdown
     and the file sizes by which Spark decides on broadcasts.
     """

@@ -11,7 +11,7 @@ from salesmart import schemas
 from salesmart.operators import marts
 from salesmart.operators.staging import stg_transactions
 from salesmart.plans import refresh as daily
-from salesmart.plans.scratch import stored
+from salesmart.plans.scratch import release, stored
 from salesmart.sinks.tables import read_table, write_periods
 from salesmart.sources.files import read_category_names, read_raw_sales
 from salesmart.streaming.landing import ingest_available_now
@@ -140,7 +140,10 @@ def test_stored_tables_lie_in_the_shared_folder(spark):
     kept = stored(spark.range(5), "numbers")
     assert sorted(row.id for row in kept.collect()) == list(range(5))
     folder = spark.conf.get("spark.checkpoint.dir")
-    assert all(file.startswith(f"file://{folder}/salesmart/numbers-") for file in kept.inputFiles())
+    files = kept.inputFiles()
+    assert files and all(f.startswith(f"file://{folder}/salesmart/numbers-") for f in files)
+    release(spark)
+    assert not any(Path(file.removeprefix("file://")).exists() for file in files)
 
 
 def test_daily_runs_add_up_to_a_backfill(spark, tmp_path):

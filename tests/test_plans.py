@@ -11,6 +11,7 @@ from salesmart import schemas
 from salesmart.operators import customers, facts, marts, products
 from salesmart.plans import sizing
 from salesmart.sinks.tables import read_table, write_periods, write_replace
+from salesmart.sources import retail_tables
 
 SMALL = "/root/testdata/sf0.001"
 RUN_DATE = date(1998, 6, 15)
@@ -131,6 +132,35 @@ def test_a_hot_customer_is_split_in_the_join(skewed, with_settings):
     assert sorted(map(tuple, daily.collect()), key=str) == plain
 
 
+def test_a_hot_order_and_a_hot_part_are_split(spark, tmp_path, with_settings):
+    """The joins that make up the raw sales, with a third of all line items on one key."""
+    for name in ("orders", "customer", "nation", "part"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    hot = F.col("id") % 3 == 0
+    spark.range(0, 120_000, 1, 8).select(
+        F.when(hot, 5).otherwise(F.col("id") % 1500).alias("l_orderkey"),
+        F.when(hot, 7).otherwise(F.col("id") % 200).alias("l_partkey"),
+        (F.col("id") % 50 + 1).cast("double").alias("l_quantity"),
+        F.when(F.col("id") % 4 == 0, "R").otherwise("A").alias("l_returnflag"),
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    def summary(df):
+        return df.groupBy("InvoiceNo", "StockCode").agg(F.sum("Quantity"), F.count("*")).collect()
+
+    plain = sorted(summary(retail_tables.raw_sales(spark, str(tmp_path))), key=str)
+    assert sum(row[3] for row in plain) == 120_000
+    with_settings(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="20k",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="40k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+    )
+    raw = retail_tables.raw_sales(spark, str(tmp_path))
+    assert plan(raw, run=True).count("skew=true") >= 2
+    assert sorted(summary(raw), key=str) == plain
+
+
 @pytest.mark.parametrize("mart", ["segments", "top"])
 def test_a_hot_key_is_summed_up_before_the_join(skewed, mart):
     """What reaches the join is one row per month and key, however hot the key."""
