@@ -29,9 +29,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_KEYS = 10_000  # sampled keys per bracket and round
+SAMPLE_KEYS = 2_500  # sampled keys per bracket and round
 FETCH_KEYS = 10_000  # rows that may be left inside the brackets of a measure at the end
-MAX_ROUNDS = 100  # a round divides what is left by about 25; only equal keys never part
+MAX_ROUNDS = 100  # a round divides what is left by about 12; only equal keys never part
 
 Key = tuple[Any, Any]  # (value, id)
 
