@@ -14,9 +14,10 @@ def stg_transactions(raw: DataFrame, *keep: str) -> DataFrame:
     readable invoice time.  ``keep`` carries extra columns of ``raw`` along.
     One narrow pass, so it also serves as the body of a streaming job.
     """
-    return raw.where(
+    sound = raw.where(
         (F.col("Quantity") > 0) & (F.col("UnitPrice") > 0) & F.col("InvoiceNo").isNotNull()
-    ).select(
+    )
+    return sound.select(
         F.col("InvoiceNo").alias("invoice_no"),
         F.col("StockCode").alias("stock_code"),
         F.col("Description").alias("description"),

@@ -42,9 +42,9 @@ def release(spark: SparkSession) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
-    For results that several jobs read; ``release`` deletes them.  A stored table outlives the executors that
-    made it, and unlike a checkpointed frame keeps column pruning, filter pushdown
-    and the file sizes by which Spark decides on broadcasts.
+    For results that several jobs read; ``release`` deletes them.  A stored table
+    outlives the executors that made it, and unlike a checkpointed frame keeps column
+    pruning, filter pushdown and the file sizes by which Spark decides on broadcasts.
     """
     path = scratch_path(df.sparkSession, name)
     write_replace(df, path)
