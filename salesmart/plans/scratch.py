@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,19 +12,23 @@ _SETTING = "spark.checkpoint.dir"
 _handed_out: list[str] = []
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="salesmart-")
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables.
+
+    The folder named by ``spark.checkpoint.dir``, else the one given to
+    ``SparkContext.setCheckpointDir``, else a folder in the session's warehouse: all of
+    them lie on storage that the executors share.
+    """
+    return (
+        spark.conf.get(_SETTING, None)
+        or spark.sparkContext.getCheckpointDir()
+        or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    )
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the cluster's shared checkpoint folder."""
-    folder = spark.conf.get(_SETTING, None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
-        folder = _local_folder()
-    path = f"{folder}/salesmart/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/salesmart/{name}-{uuid.uuid4().hex}"
     _handed_out.append(path)
     return path
 
