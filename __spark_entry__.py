@@ -7,6 +7,7 @@ ones that need a result more than once write it to scratch storage in between
 
 from __future__ import annotations
 
+import os
 import sys
 from collections.abc import Callable
 from datetime import date
@@ -14,7 +15,12 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
+_HOME = str(Path(__file__).resolve().parent)
+sys.path.insert(0, _HOME)
+# Python workers started from here on find the package too.
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    dict.fromkeys([_HOME, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))])
+)
 
 from salesmart import schemas  # noqa: E402
 from salesmart.operators import calendar, customers, facts, marts, products, staging  # noqa: E402
@@ -25,6 +31,14 @@ from salesmart.sources import retail_tables  # noqa: E402
 from salesmart.sources.files import CSV_FORMAT, read_raw_sales  # noqa: E402
 from salesmart.streaming.landing import ingest_available_now  # noqa: E402
 
+try:  # the operators for training data and their pipeline may be left out
+    import corpus_pipeline  # noqa: E402
+    from salesmart.llm import queries as llm  # noqa: E402
+except ImportError as missing:
+    if (missing.name or "") not in ("corpus_pipeline", "salesmart.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 AS_OF = date(2001, 8, 2)
 RUN_DATE = date(1998, 6, 15)
 
@@ -172,7 +186,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    own = {
         query.__name__: query
         for query in (
             raw_sales_csv,
@@ -196,6 +210,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             top_n_products_monthly_history,
         )
     }
+    if llm is None:
+        return own
+    return own | llm.queries() | {"pipeline": corpus_pipeline.run}
 
 
 # --------------------------------------------------------------------------------------
@@ -398,7 +415,7 @@ def _sql(part: str, where: str = "") -> str:
 def oracle_sql() -> dict[str, str]:
     day = "WHERE sale_date = DATE '1998-06-15'"
     month = "WHERE month_start_date = DATE '1998-06-01'"
-    return {
+    own = {
         "raw_sales_csv": _sql("raw"),
         "stg_transactions": _sql("stg"),
         "ingest_landed": _sql("stg"),
@@ -419,3 +436,7 @@ def oracle_sql() -> dict[str, str]:
         "top_n_products_monthly": _sql("top", month),
         "top_n_products_monthly_history": _sql("top"),
     }
+    if llm is None:
+        return own
+    piped = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return own | llm.oracle_sql() | piped
