@@ -22,14 +22,17 @@ from salesmart.llm.common import id_remainder, smallest_hashes
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that count as features beside the word itself.
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (4, 5, 6)
 #: Training documents taken for each label, and the longest text (characters) among them.
 PER_LABEL = 2_500
 LONGEST_TRAINED = 50_000
 #: A feature is used if so many toxic training documents have it, and their share is so many
 #: times its share of the others.
 LEAST_DOCUMENTS = 4
-LEAST_RATIO = 4.0
+LEAST_RATIO = 8.0
+#: Log odds of a sentence in which no word carries weight.  Fixed, not learned: a document must
+#: not become toxic by its length.
+BIAS = -11.0
 #: Words whose weight a task remembers.
 REMEMBERED = 300_000
 
@@ -63,22 +66,29 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.15) -> Model:
     """Noisy-or likelihood of the document labels, climbed by Adam over all sentences.
 
-    Without documents of both labels every document gets the share of label 1.
+    Without documents of both labels nothing is learned, and no document is toxic.
     """
     y = np.asarray(labels, bool)
     if y.all() or not y.any():
-        share = float(y.mean()) if len(y) else 0.0
-        return Model({}, float(np.log((share + 1e-6) / (1 - share + 1e-6))) if y.any() else -30.0)
+        return Model({}, BIAS)
     held = [Counter(), Counter()]
-    for text, label in zip(texts, y):
+    documents_of: Counter[str] = Counter()  # sums of random numbers, one for each document
+    random = np.random.default_rng(10).integers(1, 2**40, len(texts))
+    for text, label, number in zip(texts, y, random.tolist()):
         words = {w.lower() for w in WORD.findall(text)}
-        held[int(label)].update({f for w in words for f in features(w)})
+        found = {f for w in words for f in features(w)}
+        held[int(label)].update(found)
+        if label:
+            documents_of.update(dict.fromkeys(found, number))
     toxic, clean = y.sum(), (~y).sum()
-    chosen = sorted(
-        f
-        for f, n in held[1].items()
-        if n >= LEAST_DOCUMENTS and n / toxic >= LEAST_RATIO * (held[0][f] + 0.5) / clean
-    )
+    # Of features that the same toxic documents have, the most specific speaks for all.
+    specific: dict[int, str] = {}
+    for f, n in held[1].items():
+        if n >= LEAST_DOCUMENTS and n / toxic >= LEAST_RATIO * (held[0][f] + 0.5) / clean:
+            rival = specific.get(documents_of[f])
+            if rival is None or (f[0] == "=", len(f), f) > (rival[0] == "=", len(rival), rival):
+                specific[documents_of[f]] = f
+    chosen = sorted(specific.values())
     index = {f: i for i, f in enumerate(chosen)}
     of_word: dict[str, list[int]] = {}
     sentence_of, feature_of, document_of = [], [], []
@@ -93,23 +103,22 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.1
                     sentence_of.append(here)
                     feature_of.append(feature)
     s, f, d = (np.asarray(x, np.int64) for x in (sentence_of, feature_of, document_of))
-    theta = np.r_[np.full(len(chosen), 0.5), -6.0]
+    theta = np.full(len(chosen), 4.0)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     balance = np.where(y, len(y) / (2 * toxic), len(y) / (2 * clean))
     for step in range(1, steps + 1):
-        z = theta[-1] + np.bincount(s, theta[f], len(d))
+        z = BIAS + np.bincount(s, theta[f], len(d))
         total = np.bincount(d, _softplus(z), len(y))  # -log of the chance that none is toxic
         slope = np.where(y, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0) * balance
         by_sentence = slope[d] / (1 + np.exp(-np.clip(z, -500, 500)))
-        gradient = np.r_[np.bincount(f, by_sentence[s], len(chosen)), by_sentence.sum()] / len(y)
-        gradient[:-1] += 1e-5 * theta[:-1]
+        gradient = np.bincount(f, by_sentence[s], len(chosen)) / len(y) + 1e-4 * theta
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         theta -= (
             rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         )
     weights = {name: float(w) for name, w in zip(chosen, theta) if abs(w) > 1e-3}
-    return Model(weights, float(theta[-1]))
+    return Model(weights, BIAS)
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
