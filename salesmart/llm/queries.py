@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.llm import jaccard_join, language_id, mixing, packing, toxicity
+from salesmart.llm import embedding_dedup, jaccard_join, language_id, mixing, packing, token_files, toxicity
 from salesmart.llm.common import id_remainder, table
 from salesmart.llm.tokens import default_tokenizer
 
@@ -16,6 +16,11 @@ def _held_out(divisor: int, remainder: int):
     return F.coalesce(id_remainder(F.col("doc_id"), divisor) == remainder, F.lit(False))
 
 
+def op1_embedding_near_dedup(spark: SparkSession, tables: str) -> DataFrame:
+    """Links of every vector to vectors of its label at a cosine of 0.93 or more."""
+    return embedding_dedup.near_copies(table(spark, tables, "embeddings"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, tables: str) -> DataFrame:
     """Links of every document on word 5-grams at a Jaccard similarity of 0.8 or more."""
     return jaccard_join.join(table(spark, tables, "documents").select("doc_id", "text"))
@@ -43,6 +48,12 @@ def op5_mixing(spark: SparkSession, tables: str) -> DataFrame:
     return mixing.taken(mixing.mix(documents))
 
 
+def op6_token_files(spark: SparkSession, tables: str) -> DataFrame:
+    """All documents written as files of token ids, and what the files hold of each."""
+    documents = table(spark, tables, "documents").select("doc_id", "text")
+    return token_files.round_trip(documents, default_tokenizer())
+
+
 def op10_toxicity(spark: SparkSession, tables: str) -> DataFrame:
     """Toxicity of every document and the spans of its offending sentences."""
     documents = table(spark, tables, "documents")
@@ -62,10 +73,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         query.__name__: query
         for query in (
+            op1_embedding_near_dedup,
             op2_ngram_jaccard_join,
             op3_language_id,
             op4_packing,
             op5_mixing,
+            op6_token_files,
             op10_toxicity,
         )
     }
