@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.llm import embedding_dedup, jaccard_join, language_id, mixing, packing, token_files, toxicity
+from salesmart.llm import (
+    embedding_dedup,
+    fingerprints,
+    jaccard_join,
+    language_id,
+    mixing,
+    packing,
+    token_files,
+    toxicity,
+)
 from salesmart.llm.common import id_remainder, table
 from salesmart.llm.tokens import default_tokenizer
 
@@ -54,6 +63,11 @@ def op6_token_files(spark: SparkSession, tables: str) -> DataFrame:
     return token_files.round_trip(documents, default_tokenizer())
 
 
+def op7_fingerprints(spark: SparkSession, tables: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return fingerprints.edited(table(spark, tables, "documents").select("doc_id", "text"))
+
+
 def op10_toxicity(spark: SparkSession, tables: str) -> DataFrame:
     """Toxicity of every document and the spans of its offending sentences."""
     documents = table(spark, tables, "documents")
@@ -79,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op4_packing,
             op5_mixing,
             op6_token_files,
+            op7_fingerprints,
             op10_toxicity,
         )
     }
