@@ -14,6 +14,7 @@ from salesmart.llm import (
     language_id,
     mixing,
     packing,
+    quality,
     token_files,
     toxicity,
 )
@@ -68,6 +69,18 @@ def op7_fingerprints(spark: SparkSession, tables: str) -> DataFrame:
     return fingerprints.edited(table(spark, tables, "documents").select("doc_id", "text"))
 
 
+def op8_quality(spark: SparkSession, tables: str) -> DataFrame:
+    """Quality of every document."""
+    documents = table(spark, tables, "documents")
+    model = quality.train(documents, table(spark, tables, "labels"))
+    return quality.quality(documents.select("doc_id", "text"), model, "score").select(
+        "doc_id",
+        _held_out(5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.CUT).cast("int").alias("predicted"),
+    )
+
+
 def op10_toxicity(spark: SparkSession, tables: str) -> DataFrame:
     """Toxicity of every document and the spans of its offending sentences."""
     documents = table(spark, tables, "documents")
@@ -94,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op5_mixing,
             op6_token_files,
             op7_fingerprints,
+            op8_quality,
             op10_toxicity,
         )
     }
