@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from salesmart.llm import (
     embedding_dedup,
     fingerprints,
+    html_text,
     jaccard_join,
     language_id,
     mixing,
@@ -81,6 +82,11 @@ def op8_quality(spark: SparkSession, tables: str) -> DataFrame:
     )
 
 
+def op9_html_extraction(spark: SparkSession, tables: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, tables, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, tables: str) -> DataFrame:
     """Toxicity of every document and the spans of its offending sentences."""
     documents = table(spark, tables, "documents")
@@ -108,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op6_token_files,
             op7_fingerprints,
             op8_quality,
+            op9_html_extraction,
             op10_toxicity,
         )
     }
