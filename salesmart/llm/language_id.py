@@ -47,7 +47,10 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for gram in ngrams(word, n):
                         grams[gram] += times
     for (lang, n), grams in counts.items():
-        yield pd.DataFrame({"lang": lang, "n": n, "gram": list(grams), "times": list(grams.values())})
+        if grams:
+            yield pd.DataFrame(
+                {"lang": lang, "n": n, "gram": list(grams), "times": list(grams.values())}
+            )
 
 
 @dataclass
@@ -160,8 +163,13 @@ def identifier(model: Model):
     def language(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         guesser = Guesser(model)
         for texts in batches:
+            found = [guesser.guess(text) for text in texts]
             yield pd.DataFrame(
-                [guesser.guess(text) for text in texts], columns=["lang_pred", "score", "n_words"]
+                {
+                    "lang_pred": [lang for lang, _, _ in found],
+                    "score": [score for _, score, _ in found],
+                    "n_words": [n for _, _, n in found],
+                }
             )
 
     return language

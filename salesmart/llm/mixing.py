@@ -236,7 +236,8 @@ def mix(
             (F.col("to") - F.col("from")).alias("n_words"),
         )
     )
-    return Mix(sources, placed, parts.join(slot_rows, ["position", "block"]))
+    # Spark cannot see how many slots there will be: both sides are shuffled.
+    return Mix(sources, placed, parts.hint("merge").join(slot_rows, ["position", "block"]))
 
 
 def taken(planned: Mix) -> DataFrame:

@@ -162,7 +162,8 @@ def deal(cut: DataFrame, spots: DataFrame) -> DataFrame:
         ),
     )
     return (
-        ranked.join(ranges, ["length", "_range"])
+        ranked.hint("merge")
+        .join(ranges, ["length", "_range"])
         .where("rank >= first_rank AND rank < first_rank + number")
         .select(
             "doc_id",
