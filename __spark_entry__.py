@@ -13,7 +13,8 @@ from collections.abc import Callable
 from datetime import date
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _HOME = str(Path(__file__).resolve().parent)
 sys.path.insert(0, _HOME)
@@ -24,11 +25,11 @@ os.environ["PYTHONPATH"] = os.pathsep.join(
 
 from salesmart import schemas  # noqa: E402
 from salesmart.operators import calendar, customers, facts, marts, products, staging  # noqa: E402
+from salesmart.plans.refresh import refresh  # noqa: E402
 from salesmart.plans.scratch import scratch_path, stored  # noqa: E402
-from salesmart.plans.sizing import fit_shuffles  # noqa: E402
-from salesmart.sinks.tables import read_table, write_periods  # noqa: E402
+from salesmart.sinks.tables import files_below, read_table, rename, write_periods  # noqa: E402
 from salesmart.sources import retail_tables  # noqa: E402
-from salesmart.sources.files import CSV_FORMAT, read_raw_sales  # noqa: E402
+from salesmart.sources.files import CSV_WRITE_OPTIONS, read_raw_sales  # noqa: E402
 from salesmart.streaming.landing import ingest_available_now  # noqa: E402
 
 try:  # the operators for training data and their pipeline may be left out
@@ -41,10 +42,11 @@ except ImportError as missing:
 
 AS_OF = date(2001, 8, 2)
 RUN_DATE = date(1998, 6, 15)
+# The last days of two backfills; few, as every day is a folder of its own.
+LATER, EARLIER = date(1992, 4, 30), date(1992, 2, 29)
 
 
 def _raw(spark: SparkSession, tables: str) -> DataFrame:
-    fit_shuffles(spark, tables)
     return retail_tables.raw_sales(spark, tables)
 
 
@@ -52,11 +54,24 @@ def _stg(spark: SparkSession, tables: str) -> DataFrame:
     return staging.stg_transactions(_raw(spark, tables))
 
 
-def _stored_stg(spark: SparkSession, tables: str) -> DataFrame:
-    return stored(_stg(spark, tables), "stg_transactions")
+def _stored_stg(spark: SparkSession, tables: str, *columns: str) -> DataFrame:
+    """Staging in scratch storage, with the columns that its readers need."""
+    return stored(_stg(spark, tables).select(*columns), "stg_transactions")
+
+
+# What the fact reads; what the customer measures and reports on customers read.
+_OF_FACT = (
+    "invoice_no", "invoice_date", "customer_id", "stock_code", "quantity", "unit_price",
+)
+_OF_CUSTOMERS = (
+    "invoice_no", "invoice_date", "customer_id", "quantity", "unit_price", "country",
+)
 
 
 def _fact(stg: DataFrame) -> DataFrame:
+    """The sales fact; of staging without stock codes, one with null ones."""
+    if "stock_code" not in stg.columns:
+        stg = stg.withColumn("stock_code", F.lit(None).cast("string"))
     return facts.fact_sales(stg, AS_OF)
 
 
@@ -73,7 +88,7 @@ def _customers(stg: DataFrame) -> DataFrame:
 def raw_sales_csv(spark: SparkSession, tables: str) -> DataFrame:
     """All raw sales, written as CSV and read back with the landed-file reader."""
     path = scratch_path(spark, "raw_sales_csv")
-    _raw(spark, tables).write.options(**CSV_FORMAT).csv(path)
+    _raw(spark, tables).write.options(**CSV_WRITE_OPTIONS).csv(path)
     return read_raw_sales(spark, path)
 
 
@@ -81,18 +96,63 @@ def stg_transactions(spark: SparkSession, tables: str) -> DataFrame:
     return _stg(spark, tables)
 
 
+def _land(raw: DataFrame, landing: str) -> None:
+    """Raw sales as landed files of the last day of each invoice year, in parts."""
+    spark = raw.sparkSession
+    written = scratch_path(spark, "to_land")
+    year = F.regexp_extract("InvoiceDate", r"/(\d{4}) ", 1)
+    raw.withColumn("year", year).write.options(**CSV_WRITE_OPTIONS).partitionBy("year").csv(written)
+    for n, file in enumerate(sorted(files_below(spark, written, ".csv"))):
+        of_year = file.removeprefix("year=")[:4]
+        rename(spark, f"{written}/{file}", f"{landing}/{of_year}1231_{n}_sales.csv")
+
+
+def _is_early() -> Column:
+    return F.regexp_extract("InvoiceDate", r"/(\d{4}) ", 1) < "1996"
+
+
 def ingest_landed(spark: SparkSession, tables: str) -> DataFrame:
-    """All raw sales, landed as CSV files and streamed into the staging table in two runs.
+    """All raw sales, landed as files named by date and streamed into the staging table.
 
-    The second run finds no new file and must add nothing.
+    They arrive in two portions.  The second run takes what is new; the third finds no
+    new file and must add nothing.
     """
     landing, target, checkpoint = (
         scratch_path(spark, name) for name in ("landing", "staging", "checkpoint")
     )
-    _raw(spark, tables).write.options(**CSV_FORMAT).csv(landing)
-    for _ in range(2):
-        ingest_available_now(spark, landing, target, checkpoint, files="*.csv")
-    return read_table(spark, target, schemas.STG_TRANSACTIONS_LOADED).drop("load_date")
+    raw = stored(_raw(spark, tables), "raw_sales")
+    for arrival in (raw.where(_is_early()), raw.where(~_is_early()), None):
+        if arrival is not None:
+            _land(arrival, landing)
+        ingest_available_now(spark, landing, target, checkpoint)
+    return read_table(spark, target, schemas.STG_TRANSACTIONS_LOADED).drop("load_file")
+
+
+def _is_late() -> Column:
+    """Every seventh invoice."""
+    return F.pmod(F.crc32(F.col("InvoiceNo").cast("binary")), F.lit(7)) == 0
+
+
+def refreshed_late_rows(spark: SparkSession, tables: str) -> DataFrame:
+    """The daily report after a backfill without, and a daily run with, late rows."""
+    base, landing = scratch_path(spark, "warehouse"), scratch_path(spark, "landing")
+    raw = stored(_raw(spark, tables), "raw_sales")
+    _land(raw.where(~_is_late()), landing)
+    refresh(spark, base, landing, as_of=LATER)
+    _land(raw.where(_is_late()), scratch_landing := landing + "_late")
+    for file in files_below(spark, scratch_landing, ".csv"):
+        rename(spark, f"{scratch_landing}/{file}", f"{landing}/{file.replace('_sales', '_late_sales')}")
+    house = refresh(spark, base, landing, RUN_DATE, LATER)
+    return read_table(spark, house.agg_daily_sales, schemas.AGG_DAILY_SALES)
+
+
+def refreshed_earlier_as_of(spark: SparkSession, tables: str) -> DataFrame:
+    """The fact after a backfill up to one day, and then one up to an earlier day."""
+    base, landing = scratch_path(spark, "warehouse"), scratch_path(spark, "landing")
+    _land(_raw(spark, tables), landing)
+    for as_of in (LATER, EARLIER):
+        house = refresh(spark, base, landing, as_of=as_of)
+    return read_table(spark, house.fact_sales, schemas.FACT_SALES)
 
 
 def dim_dates(spark: SparkSession, tables: str) -> DataFrame:
@@ -124,7 +184,7 @@ def rfm_segments(spark: SparkSession, tables: str) -> DataFrame:
 
 
 def dim_customers(spark: SparkSession, tables: str) -> DataFrame:
-    return _customers(_stored_stg(spark, tables))
+    return _customers(_stored_stg(spark, tables, *_OF_CUSTOMERS))
 
 
 def fact_sales(spark: SparkSession, tables: str) -> DataFrame:
@@ -135,24 +195,28 @@ def fact_sales_partition_rerun(spark: SparkSession, tables: str) -> DataFrame:
     """The fact as a stored table after one of its days was written a second time."""
     path = scratch_path(spark, "fact_sales")
     cluster = ("customer_id", "stock_code")
-    fact = _fact(_stg(spark, tables))
+    fact = _fact(_stored_stg(spark, tables, *_OF_FACT))
     write_periods(fact, path, "invoice_day", cluster)
     write_periods(fact.where(fact.invoice_day == RUN_DATE), path, "invoice_day", cluster)
     return read_table(spark, path, schemas.FACT_SALES)
 
 
 def _daily(spark: SparkSession, tables: str, day: date | None) -> DataFrame:
-    stg = _stored_stg(spark, tables)
-    return marts.agg_daily_sales(_fact(stg), customers.customer_countries(stg), day)
+    stg = _stored_stg(spark, tables, *_OF_CUSTOMERS)
+    fact, of_customer = _fact(stg), stg
+    if day is not None:  # the countries of that day's customers only
+        fact = fact.where(F.col("invoice_day") == F.lit(day))
+        of_customer = stg.join(fact.select("customer_id").distinct(), "customer_id", "left_semi")
+    return marts.agg_daily_sales(fact, customers.customer_countries(of_customer), day)
 
 
 def _segments(spark: SparkSession, tables: str, month: date | None) -> DataFrame:
-    stg = _stored_stg(spark, tables)
+    stg = _stored_stg(spark, tables, *_OF_CUSTOMERS)
     return marts.agg_customer_segments_monthly(_fact(stg), _customers(stg), month)
 
 
 def _top(spark: SparkSession, tables: str, month: date | None) -> DataFrame:
-    stg = _stored_stg(spark, tables)
+    stg = _stored_stg(spark, tables, *_OF_FACT, "description")
     return marts.top_n_products_monthly(_fact(stg), products.dim_products(stg), month)
 
 
@@ -202,6 +266,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             dim_customers,
             fact_sales,
             fact_sales_partition_rerun,
+            refreshed_late_rows,
+            refreshed_earlier_as_of,
             agg_daily_sales,
             agg_daily_sales_history,
             agg_customer_segments_monthly,
@@ -418,7 +484,9 @@ def oracle_sql() -> dict[str, str]:
     own = {
         "raw_sales_csv": _sql("raw"),
         "stg_transactions": _sql("stg"),
-        "ingest_landed": _sql("stg"),
+        "ingest_landed": _sql("stg").replace(
+            "SELECT * FROM stg", "SELECT *, make_date(year(invoice_date), 12, 31) AS load_date FROM stg"
+        ),
         "dim_dates": _sql("dates"),
         "dim_products": _sql("products"),
         "customer_base": _sql("base"),
@@ -429,6 +497,8 @@ def oracle_sql() -> dict[str, str]:
         "dim_customers": _sql("customers"),
         "fact_sales": _sql("fact"),
         "fact_sales_partition_rerun": _sql("fact"),
+        "refreshed_late_rows": _sql("daily").replace(str(AS_OF), str(LATER)),
+        "refreshed_earlier_as_of": _sql("fact").replace(str(AS_OF), str(EARLIER)),
         "agg_daily_sales": _sql("daily", day),
         "agg_daily_sales_history": _sql("daily"),
         "agg_customer_segments_monthly": _sql("segments_monthly", month),

@@ -111,16 +111,17 @@ def top_n_products_monthly(
     best_first = W.partitionBy("month_start_date").orderBy(
         F.desc("total_sales_this_month"), "stock_code"
     )
-    return (
-        sales.join(products, "stock_code")
+    # Only stock codes with a dimension row compete; their texts join the winners alone.
+    best = (
+        sales.join(products.select("stock_code"), "stock_code", "left_semi")
         .withColumn("rank_this_month", F.row_number().over(best_first))
         .where(F.col("rank_this_month") <= n)
-        .select(
-            "month_start_date",
-            "stock_code",
-            "description",
-            "product_category",
-            "total_sales_this_month",
-            F.col("rank_this_month").cast("bigint").alias("rank_this_month"),
-        )
+    )
+    return best.join(products, "stock_code").select(
+        "month_start_date",
+        "stock_code",
+        "description",
+        "product_category",
+        "total_sales_this_month",
+        F.col("rank_this_month").cast("bigint").alias("rank_this_month"),
     )

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from salesmart import schemas
 from salesmart.operators import calendar, customers, facts, marts, products
-from salesmart.plans.sizing import fit_shuffles
-from salesmart.sinks.tables import read_table, write_periods, write_replace
-from salesmart.streaming.landing import ingest_available_now
+from salesmart.functions.dates import month_start
+from salesmart.plans.scratch import stored
+from salesmart.plans.sizing import fitted_shuffles
+from salesmart.sinks.tables import delete, exists, read_table, write_periods, write_replace
+from salesmart.streaming.landing import ingest_available_now, reload_day
+
+_FACT_CLUSTER = ("customer_id", "stock_code")
 
 
 @dataclass(frozen=True)
@@ -32,6 +36,11 @@ class Warehouse:
     def checkpoint(self) -> str:
         return self.path("staging", "_checkpoint")
 
+    @property
+    def pending(self) -> str:
+        """What tables still have to be brought up to date for; empty between runs."""
+        return self.path("staging", "_pending")
+
     @property
     def customer_base(self) -> str:
         return self.path("dwh", "customer_base")
@@ -72,80 +81,174 @@ def refresh(
     run_date: date | None = None,
     as_of: date | None = None,
     archive: str | None = None,
+    reload: bool = False,
 ) -> Warehouse:
     """Take in what has landed and bring every table up to date.
 
-    With ``run_date`` the fact is rewritten for the days found in that day's file, and
-    the marts for that day and its month.  Without, everything is rewritten: the
-    backfill.  Either may be repeated at will.
+    With ``run_date`` that day and every day found in the files just taken are rewritten in
+    the fact, and in the reports the days and months of them and of all sales whose
+    customer or product has changed in the dimensions.  So, run after run with one
+    ``as_of``, the tables equal a backfill, however late rows and files come.  ``reload``
+    takes the file of ``run_date`` again.  Without ``run_date`` every table is replaced as a
+    whole: the backfill, also for an earlier ``as_of``.
+
+    Any run may be repeated.  What a run has still to do is written down before the tables
+    it follows from are touched, so the next run makes up for one that died.
     """
     house = Warehouse(base)
     if as_of is None:
         as_of = spark.sql("SELECT current_date()").first()[0]
-    ingest_available_now(spark, landing, house.stg_transactions, house.checkpoint, archive)
-    fit_shuffles(spark, house.stg_transactions)
-    build_dimensions(spark, house, as_of)
-    build_fact(spark, house, as_of, run_date)
-    build_marts(spark, house, run_date)
+
+    def taken(rows: DataFrame) -> None:
+        _note(house, "days", rows.select(F.to_date("invoice_date").alias("day")).distinct())
+
+    ingest_available_now(
+        spark, landing, house.stg_transactions, house.checkpoint, archive, taken=taken
+    )
+    if reload and run_date is not None:
+        reload_day(spark, landing, house.stg_transactions, run_date, taken)
+    with fitted_shuffles(spark, house.stg_transactions):
+        build_dimensions(spark, house, as_of)
+        if run_date is None:
+            build_fact(spark, house, as_of)
+            build_marts(spark, house)
+        else:
+            days = _pending(spark, house, "days", "day date").unionByName(
+                spark.createDataFrame([(run_date,)], "day date")
+            )
+            days = stored(days.distinct(), "days")
+            build_fact(spark, house, as_of, days)
+            build_marts(spark, house, days)
+    delete(spark, house.pending)
     return house
 
 
+def _note(house: Warehouse, what: str, rows: DataFrame) -> None:
+    rows.write.mode("append").parquet(f"{house.pending}/{what}")
+
+
+def _pending(spark: SparkSession, house: Warehouse, what: str, schema: str) -> DataFrame:
+    path = f"{house.pending}/{what}"
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).distinct()
+
+
 def _staging(spark: SparkSession, house: Warehouse) -> DataFrame:
     return read_table(spark, house.stg_transactions, schemas.STG_TRANSACTIONS_LOADED)
 
 
+def _replace_dimension(house: Warehouse, what: str, key: str, new: DataFrame, path: str) -> None:
+    """Replace a dimension, after noting the keys whose rows come, go or change."""
+    spark = new.sparkSession
+    new = stored(new, what)
+    if exists(spark, path):
+        old = read_table(spark, path, new.schema)
+        changed = old.exceptAll(new).unionByName(new.exceptAll(old))
+        _note(house, what, changed.select(key).distinct())
+    write_replace(new, path)
+
+
 def build_dimensions(spark: SparkSession, house: Warehouse, as_of: date) -> None:
     """Replace the three dimensions from all of staging."""
     stg = _staging(spark, house)
     write_replace(calendar.dim_dates(stg), house.dim_dates)
-    write_replace(products.dim_products(stg), house.dim_products)
+    _replace_dimension(
+        house, "products", "stock_code", products.dim_products(stg), house.dim_products
+    )
     write_replace(customers.customer_base(stg), house.customer_base)
     base = read_table(spark, house.customer_base, schemas.CUSTOMER_BASE)
     segments = customers.rfm_segments(customers.rfm_scores(base, as_of))
-    write_replace(
-        customers.dim_customers(segments, customers.customer_countries(stg)), house.dim_customers
+    _replace_dimension(
+        house,
+        "customers",
+        "customer_id",
+        customers.dim_customers(segments, customers.customer_countries(stg)),
+        house.dim_customers,
     )
 
 
 def build_fact(
-    spark: SparkSession, house: Warehouse, as_of: date, run_date: date | None = None
+    spark: SparkSession, house: Warehouse, as_of: date, days: DataFrame | None = None
 ) -> None:
-    """Rewrite the fact for the days in the file of ``run_date``, or for all days."""
+    """Rewrite the fact for ``days`` (a column day), or replace it as a whole.
+
+    A day rewritten takes all its rows, whichever file they came in.  The range lets Parquet
+    skip the row groups of other days.
+    """
     stg = _staging(spark, house)
-    if run_date is not None:
-        loaded = stg.where(F.col("load_date") == F.lit(run_date))
-        days = [row[0] for row in loaded.select(F.to_date("invoice_date")).distinct().collect()]
-        if not days:
-            return
-        # All rows of those days, whichever file they came in.  The range lets Parquet
-        # skip the row groups of other days.
-        day = F.to_date("invoice_date")
-        stg = stg.where(day.between(min(days), max(days)) & day.isin(days))
+    if days is None:
+        write_replace(
+            facts.fact_sales(stg, as_of), house.fact_sales, "invoice_day", _FACT_CLUSTER
+        )
+        return
+    first, last = days.agg(F.min("day"), F.max("day")).first()
+    day = F.to_date("invoice_date")
+    some = stg.where(day.between(F.lit(first), F.lit(last))).join(
+        days, day == F.col("day"), "left_semi"
+    )
     write_periods(
-        facts.fact_sales(stg, as_of), house.fact_sales, "invoice_day", ("customer_id", "stock_code")
+        facts.fact_sales(some, as_of),
+        house.fact_sales,
+        "invoice_day",
+        _FACT_CLUSTER,
+        _dates(days, "day"),
     )
 
 
-def build_marts(spark: SparkSession, house: Warehouse, run_date: date | None = None) -> None:
-    """Rewrite the marts for the day and month of ``run_date``, or for all periods."""
+def _dates(periods: DataFrame, column: str) -> list[date]:
+    """Days or months as a list: partitions, which the driver lists whenever it reads."""
+    return [row[0] for row in periods.select(column).collect()]
+
+
+def build_marts(spark: SparkSession, house: Warehouse, days: DataFrame | None = None) -> None:
+    """Rewrite the marts for ``days`` and what changed in the dimensions, or replace them."""
     fact = read_table(spark, house.fact_sales, schemas.FACT_SALES)
     customer = read_table(spark, house.dim_customers, schemas.DIM_CUSTOMERS)
     product = read_table(spark, house.dim_products, schemas.DIM_PRODUCTS)
-    write_periods(
-        marts.agg_daily_sales(fact, customer, run_date),
-        house.agg_daily_sales,
-        "sale_date",
-        ["country"],
-    )
-    write_periods(
-        marts.agg_customer_segments_monthly(fact, customer, run_date),
-        house.agg_customer_segments_monthly,
-        "month_start_date",
-        ["rfm_segment"],
-    )
-    write_periods(
-        marts.top_n_products_monthly(fact, product, run_date),
-        house.top_n_products_monthly,
-        "month_start_date",
-        ["rank_this_month"],
+    tables = (
+        (marts.agg_daily_sales, customer, house.agg_daily_sales, "sale_date", "country"),
+        (
+            marts.agg_customer_segments_monthly,
+            customer,
+            house.agg_customer_segments_monthly,
+            "month_start_date",
+            "rfm_segment",
+        ),
+        (
+            marts.top_n_products_monthly,
+            product,
+            house.top_n_products_monthly,
+            "month_start_date",
+            "rank_this_month",
+        ),
     )
+    if days is None:
+        for mart, dimension, path, period, cluster in tables:
+            write_replace(mart(fact, dimension), path, period, [cluster])
+        return
+    by_customer = _days_sold(spark, house, fact, "customers", "customer_id")
+    by_product = _days_sold(spark, house, fact, "products", "stock_code")
+    for mart, dimension, path, period, cluster in tables:
+        touched = days.unionByName(by_product if dimension is product else by_customer)
+        if period == "month_start_date":
+            touched = touched.select(month_start(F.col("day")).alias("period")).distinct()
+            within = F.explode(F.sequence("period", F.last_day("period")))
+        else:
+            touched = touched.select(F.col("day").alias("period")).distinct()
+            within = F.col("period")
+        touched = stored(touched, "periods")
+        # A semi-join on the partition column: Spark reads those partitions only.
+        some = fact.join(
+            touched.select(within.alias("_day")), F.col("invoice_day") == F.col("_day"), "left_semi"
+        )
+        write_periods(mart(some, dimension), path, period, [cluster], _dates(touched, "period"))
+
+
+def _days_sold(
+    spark: SparkSession, house: Warehouse, fact: DataFrame, what: str, key: str
+) -> DataFrame:
+    """Days on which the changed customers or products had sales."""
+    changed = _pending(spark, house, what, f"{key} string")
+    sold = fact.join(changed, key, "left_semi").select(F.col("invoice_day").alias("day"))
+    return stored(sold.distinct(), f"days_of_{what}")

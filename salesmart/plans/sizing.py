@@ -2,27 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 _SETTING = "spark.sql.shuffle.partitions"
 BYTES_PER_PARTITION = 128 * 1024**2
-MOST_PARTITIONS = 32_768  # beyond this the bookkeeping of a shuffle outweighs its data
 
 
-def fit_shuffles(spark: SparkSession, *paths: str) -> int:
-    """Raise the number of shuffle partitions to suit the files under ``paths``.
+def partitions_for(
+    size: int, bytes_per_partition: int = BYTES_PER_PARTITION, most: int | None = None
+) -> int:
+    """Partitions that ``size`` bytes of files want; ``most`` bounds it only if given.
 
-    Never lowers it: adaptive execution merges partitions that turn out small, but
-    splits large ones only for joins and rebalancing, not for aggregations.
+    Files are compressed and rows in a shuffle are not, by a factor that differs between
+    tables: a smaller ``bytes_per_partition`` makes up for it.
     """
+    wanted = max(1, -(-size // bytes_per_partition))
+    return wanted if most is None else min(wanted, most)
+
+
+def size_of(spark: SparkSession, *paths: str) -> int:
+    """Bytes of the files under ``paths``; paths that do not exist count as none."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     size = 0
     for path in paths:
         folder = hadoop(path)
-        size += folder.getFileSystem(conf).getContentSummary(folder).getLength()
-    wanted = min(-(-size // BYTES_PER_PARTITION), MOST_PARTITIONS)
-    current = int(spark.conf.get(_SETTING))
-    if wanted > current:
-        spark.conf.set(_SETTING, str(wanted))
-    return max(wanted, current)
+        files = folder.getFileSystem(conf)
+        if files.exists(folder):
+            size += files.getContentSummary(folder).getLength()
+    return size
+
+
+@contextmanager
+def fitted_shuffles(
+    spark: SparkSession,
+    *paths: str,
+    bytes_per_partition: int = BYTES_PER_PARTITION,
+    most: int | None = None,
+) -> Iterator[int]:
+    """Shuffle partitions to suit the files under ``paths`` while the block runs.
+
+    Never fewer than the session has: adaptive execution merges partitions that turn out
+    small, but splits large ones only for joins and rebalancing, not for aggregations.
+    For jobs that run inside the block; the session is left as it was found.
+    """
+    before = spark.conf.get(_SETTING)
+    wanted = max(
+        int(before), partitions_for(size_of(spark, *paths), bytes_per_partition, most)
+    )
+    spark.conf.set(_SETTING, str(wanted))
+    try:
+        yield wanted
+    finally:
+        spark.conf.set(_SETTING, before)

@@ -45,9 +45,13 @@ STG_TRANSACTIONS = _table(
     country=_TEXT,
 )
 
-#: Staging as it lies on disk: one partition per daily file.
+#: Staging as it lies on disk: one partition per landed file, below its day.
 STG_TRANSACTIONS_LOADED = T.StructType(
-    [*STG_TRANSACTIONS.fields, T.StructField("load_date", _DATE)]
+    [
+        *STG_TRANSACTIONS.fields,
+        T.StructField("load_date", _DATE),
+        T.StructField("load_file", T.StringType()),
+    ]
 )
 
 DIM_DATES = _table(

@@ -1,9 +1,10 @@
-"""Tables as Parquet folders: whole replacement, or replacement of the periods written."""
+"""Tables as Parquet folders: whole replacement, or replacement of some of their periods."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+import uuid
+from collections.abc import Iterable, Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -14,38 +15,105 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def write_replace(df: DataFrame, path: str) -> None:
-    """Replace the whole table."""
-    df.write.mode("overwrite").parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    folder, files = _folder(spark, path)
+    return files.exists(folder)
 
 
-def write_periods(df: DataFrame, path: str, period: str, cluster_by: Sequence[str]) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    folder, files = _folder(spark, path)
+    files.delete(folder, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Move a file or folder; folders above the new place are made."""
+    old, files = _folder(spark, path)
+    new, _ = _folder(spark, to)
+    files.mkdirs(new.getParent())
+    if not files.rename(old, new):
+        raise OSError(f"could not move {path} to {to}")
+
+
+def files_below(spark: SparkSession, path: str, ending: str = ".parquet") -> list[str]:
+    """Paths of a table's files, relative to its folder; none if there is no folder."""
+    folder, files = _folder(spark, path)
+    if not files.exists(folder):
+        return []
+    root, found = files.makeQualified(folder).toString().rstrip("/"), []
+    statuses = files.listFiles(folder, True)
+    while statuses.hasNext():
+        name = statuses.next().getPath().toString()
+        if name.endswith(ending):
+            found.append(name[len(root) + 1 :])
+    return found
+
+
+def write_replace(
+    df: DataFrame, path: str, partition_by: str | None = None, cluster_by: Sequence[str] = ()
+) -> None:
+    """Replace the whole table, also by nothing.
+
+    The rows are written beside the table and take its place when all of them are there,
+    so a run that fails leaves the table as it was, and ``df`` may read it.  Between the
+    two steps of the swap there is a moment without a table.
+    """
+    beside = f"{path.rstrip('/')}._new-{uuid.uuid4().hex}"
+    writer = (_gathered(df, partition_by, cluster_by) if partition_by else df).write
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(beside)
+    delete(df.sparkSession, path)
+    rename(df.sparkSession, beside, path)
+
+
+def write_periods(
+    df: DataFrame,
+    path: str,
+    period: str,
+    cluster_by: Sequence[str],
+    answers_for: Iterable[date] = (),
+) -> None:
     """Replace the periods present in ``df`` and leave the others alone.
 
-    Running a period again therefore changes nothing, where an append would double
-    it.  REBALANCE brings the rows of a period together for few files, and lets
-    adaptive execution cut up a period that outgrows one task.  Rows are sorted
-    within files so that Parquet statistics can skip row groups by ``cluster_by``.
+    Running a period again therefore changes nothing, where an append would double it.
+    ``df`` speaks for the periods in ``answers_for`` too: those it has no rows of are
+    removed.  They are removed last, so a run that dies before is made good by its
+    repetition.
+    """
+    spark = df.sparkSession
+    folders = {f"{period}={day.isoformat()}" for day in answers_for}
+    before = _files_in(spark, path, folders)
+    (
+        _gathered(df, period, cluster_by)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(period)
+        .parquet(path)
+    )
+    after = _files_in(spark, path, folders)
+    for name, files in before.items():
+        if after.get(name) == files:  # written files have new names
+            delete(spark, f"{path}/{name}")
+
+
+def _gathered(df: DataFrame, period: str, cluster_by: Sequence[str]) -> DataFrame:
+    """Rows of a period together and sorted.
+
+    REBALANCE makes few files, and lets adaptive execution cut up a period that outgrows one
+    task.  The order within files lets Parquet statistics skip row groups by
+    ``cluster_by``.
     """
-    with _uncoalesced(df.sparkSession):
-        (
-            df.hint("rebalance", period)
-            .sortWithinPartitions(period, *cluster_by)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(period)
-            .parquet(path)
-        )
-
-
-@contextmanager
-def _uncoalesced(spark: SparkSession) -> Iterator[None]:
-    """Merging small shuffle partitions cannot lower the number of files when each
-    period is whole already; it would only leave many periods to few tasks."""
-    setting = "spark.sql.adaptive.coalescePartitions.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
+    return df.hint("rebalance", period).sortWithinPartitions(period, *cluster_by)
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _files_in(spark: SparkSession, path: str, folders: Iterable[str]) -> dict[str, set[str]]:
+    """The files in those folders of a table that exist."""
+    found = {}
+    for name in folders:
+        folder, files = _folder(spark, f"{path}/{name}")
+        if files.exists(folder):
+            found[name] = {status.getPath().getName() for status in files.listStatus(folder)}
+    return found

@@ -1,4 +1,8 @@
-"""Readers of landed CSV files."""
+"""Readers of landed CSV files.
+
+A row is a line: files are read in parts, from any line on.  A text with a line break in it
+breaks its row in two, neither of which fits the schema, and so stops the job.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from salesmart.schemas import CATEGORY_NAMES, RAW_SALES
 
 # Fixed value: the landed file of a day is named after it.
-SALES_FILE = "{day:%Y%m%d}_sales.csv"
+SALES_FILE = "{day:%Y%m%d}_*sales.csv"  # also its parts, like 20101201_2_sales.csv
 SALES_FILES = "*_sales.csv"
 
 # Comma-separated, one header row, a quote inside quotes is doubled.
@@ -24,6 +28,14 @@ CSV_FORMAT = {"header": "true", "sep": ",", "quote": '"', "escape": '"'}
 CSV_OPTIONS = {**CSV_FORMAT, "mode": "FAILFAST", "columnPruning": "false", "nullValue": "\0"}
 
 
+# Spark trims texts when it writes, unless told not to.
+CSV_WRITE_OPTIONS = {
+    **CSV_FORMAT,
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
 def read_raw_sales(spark: SparkSession, path: str, day: date | None = None) -> DataFrame:
     """Raw sales of one day's file, or of every file in the folder."""
     reader = spark.read.schema(RAW_SALES).options(**CSV_OPTIONS)

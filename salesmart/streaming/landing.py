@@ -1,25 +1,36 @@
-"""Landing folder to staging table, every file once."""
+"""Landing folder to staging table, every file once, and a day's file again on demand."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesmart.operators.staging import stg_transactions
-from salesmart.schemas import RAW_SALES
-from salesmart.sources.files import CSV_OPTIONS, SALES_FILES
+from salesmart.schemas import RAW_SALES, STG_TRANSACTIONS_LOADED
+from salesmart.sinks.tables import delete, exists, files_below, read_table
+from salesmart.sources.files import CSV_OPTIONS, SALES_FILES, read_raw_sales
 
 # The day at the start of a file name; the second alternative swallows other names.
 _FILE_DAY = r"^(\d{4})(\d{2})(\d{2})_.*$|^.*$"
 
 
+def _named(raw: DataFrame) -> DataFrame:
+    """Adds ``load_file`` and ``load_date``, the day in the file name (NULL if it has none)."""
+    day = F.regexp_replace("_metadata.file_name", _FILE_DAY, "$1-$2-$3")
+    return raw.withColumns(
+        {"load_date": day.try_cast("date"), "load_file": F.col("_metadata.file_name")}
+    )
+
+
 def landed_sales(
     spark: SparkSession, landing: str, archive: str | None = None, files: str = SALES_FILES
 ) -> DataFrame:
     """Stream of raw sales from the files that arrive in ``landing``.
 
-    Adds ``load_date``, the day in the file name (NULL if it has none).  With
-    ``archive``, a file is moved there by the run after the one that read it; the
+    With ``archive``, a file is moved there by the run after the one that read it; the
     folder must not lie under ``landing``.
     """
     reader = (
@@ -27,12 +38,12 @@ def landed_sales(
         .options(**CSV_OPTIONS)
         .option("pathGlobFilter", files)
         # A file may arrive long after the newest one; the default skips week-old files.
+        # The price is a name kept for every file taken: a few a day.
         .option("maxFileAge", "36500d")
     )
     if archive is not None:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    day = F.regexp_replace("_metadata.file_name", _FILE_DAY, "$1-$2-$3")
-    return reader.csv(landing).withColumn("load_date", day.try_cast("date"))
+    return _named(reader.csv(landing))
 
 
 def ingest_available_now(
@@ -42,19 +53,83 @@ def ingest_available_now(
     checkpoint: str,
     archive: str | None = None,
     files: str = SALES_FILES,
+    taken: Callable[[DataFrame], None] | None = None,
 ) -> None:
     """Clean every file not taken before into the staging table at ``target``, then return.
 
-    The checkpoint remembers the files and the sink commits a batch as a whole, so
-    a run that dies half-way is repeated by the next one without loss or doubles.
+    The checkpoint remembers the files.  Each file is a partition of the table, replaced as
+    a whole, so a batch that died half-way is repeated by the next run without loss or
+    doubles.  ``taken`` is called with the rows of every batch as they lie in the table, before
+    the batch counts as done.
     """
-    clean = stg_transactions(landed_sales(spark, landing, archive, files), "load_date")
+    clean = stg_transactions(
+        landed_sales(spark, landing, archive, files), "load_date", "load_file"
+    )
+
+    def take(batch: DataFrame, _: int) -> None:
+        rows = _replace(batch, target)
+        if taken is not None and rows is not None:
+            taken(rows)
+
     query = (
-        clean.writeStream.format("parquet")
-        .option("path", target)
+        clean.writeStream.foreachBatch(take)
         .option("checkpointLocation", checkpoint)
-        .partitionBy("load_date")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+
+
+def reload_day(
+    spark: SparkSession,
+    landing: str,
+    target: str,
+    day: date,
+    taken: Callable[[DataFrame], None] | None = None,
+) -> None:
+    """Take the file of ``day`` again, whatever was taken under its name or day before.
+
+    For corrected files: a stream never takes a name twice.  ``taken`` is called with the
+    rows that lay there, and then with those that lie there now.
+    """
+    before = _of_day(spark, target, day)
+    if taken is not None and before is not None:
+        taken(before)
+    folder = f"load_date={day.isoformat()}"
+    old = {name for name in files_below(spark, target) if name.startswith(f"{folder}/")}
+    raw = _named(read_raw_sales(spark, landing, day))
+    _replace(stg_transactions(raw, "load_date", "load_file"), target)
+    kept = set(files_below(spark, target))
+    for file in old & kept:  # files of the day that the reload has not replaced
+        delete(spark, f"{target}/{file}")
+    if taken is not None:
+        now = _of_day(spark, target, day)
+        if now is not None:
+            taken(now)
+
+
+def _of_day(spark: SparkSession, target: str, day: date) -> DataFrame | None:
+    if not exists(spark, f"{target}/load_date={day.isoformat()}"):
+        return None
+    staging = read_table(spark, target, STG_TRANSACTIONS_LOADED)
+    return staging.where(F.col("load_date") == F.lit(day))
+
+
+def _replace(rows: DataFrame, target: str) -> DataFrame | None:
+    """Write ``rows`` over the partitions of their files; return them as they lie there."""
+    spark = rows.sparkSession
+    before = set(files_below(spark, target))
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("load_date", "load_file")
+        .parquet(target)
+    )
+    new = [name for name in files_below(spark, target) if name not in before]
+    if not new:
+        return None
+    return (
+        spark.read.schema(STG_TRANSACTIONS_LOADED)
+        .option("basePath", target)
+        .parquet(*sorted({f"{target}/{name.rsplit('/', 1)[0]}" for name in new}))
+    )

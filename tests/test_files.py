@@ -13,7 +13,7 @@ from salesmart.operators.staging import stg_transactions
 from salesmart.plans import refresh as daily
 from salesmart.plans.scratch import release, stored
 from salesmart.sinks.tables import read_table, write_periods
-from salesmart.sources.files import read_category_names, read_raw_sales
+from salesmart.sources.files import CSV_WRITE_OPTIONS, read_category_names, read_raw_sales
 from salesmart.streaming.landing import ingest_available_now
 
 HEADER = "InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n"
@@ -146,37 +146,47 @@ def test_stored_tables_lie_in_the_shared_folder(spark):
     assert not any(Path(file.removeprefix("file://")).exists() for file in files)
 
 
+TABLES = (
+    ("dim_dates", schemas.DIM_DATES),
+    ("dim_products", schemas.DIM_PRODUCTS),
+    ("dim_customers", schemas.DIM_CUSTOMERS),
+    ("fact_sales", schemas.FACT_SALES),
+    ("agg_daily_sales", schemas.AGG_DAILY_SALES),
+    ("agg_customer_segments_monthly", schemas.AGG_CUSTOMER_SEGMENTS_MONTHLY),
+    ("top_n_products_monthly", schemas.TOP_N_PRODUCTS_MONTHLY),
+)
+AS_OF = date(2010, 12, 31)
+
+
+def contents(spark, house):
+    return {
+        name: rows(read_table(spark, getattr(house, name), schema).select(schema.names))
+        for name, schema in TABLES
+    }
+
+
+def day_of(name: str) -> date:
+    return date(int(name[:4]), int(name[4:6]), int(name[6:8]))
+
+
 def test_daily_runs_add_up_to_a_backfill(spark, tmp_path):
-    as_of = date(2010, 12, 31)
+    """Late rows, two files before one run, an unreadable day, and a run without a file."""
     landing = tmp_path / "landing"
-    for day in DAYS:
-        land(landing, day)
-        run_date = date(int(day[:4]), int(day[4:6]), int(day[6:]))
-        house = daily.refresh(spark, str(tmp_path / "daily"), str(landing), run_date, as_of)
-        daily.build_fact(spark, house, as_of, run_date)  # a repeated step
-    full = daily.refresh(spark, str(tmp_path / "full"), str(landing), None, as_of)
-
-    for name, schema in (
-        ("dim_dates", schemas.DIM_DATES),
-        ("dim_products", schemas.DIM_PRODUCTS),
-        ("dim_customers", schemas.DIM_CUSTOMERS),
-        ("fact_sales", schemas.FACT_SALES),
-    ):
-        by_day = rows(read_table(spark, getattr(house, name), schema))
-        assert by_day == rows(read_table(spark, getattr(full, name), schema)) != Counter()
-
-    # A daily run rewrites its own day: the first one's late row is in the fact at once,
-    # in the daily mart when that day is run again.
-    daily.build_marts(spark, house, date(2010, 12, 1))
-    for name, schema in (
-        ("agg_daily_sales", schemas.AGG_DAILY_SALES),
-        ("agg_customer_segments_monthly", schemas.AGG_CUSTOMER_SEGMENTS_MONTHLY),
-        ("top_n_products_monthly", schemas.TOP_N_PRODUCTS_MONTHLY),
-    ):
-        found = read_table(spark, getattr(house, name), schema).select(schema.names)
-        whole = read_table(spark, getattr(full, name), schema).select(schema.names)
-        assert rows(found) == rows(whole) != Counter()
-
+    base = str(tmp_path / "daily")
+    land(landing, "20101201")
+    daily.refresh(spark, base, str(landing), date(2010, 12, 1), AS_OF)
+    land(landing, "20101202")
+    land(landing, "20101203")  # holds a late row, of a new customer, of the first day
+    (landing / "undated_sales.csv").write_text(
+        HEADER + "7,B,bag,4,11/30/2010 8:26,1,7,Norway\n"  # a second country for a customer
+    )
+    house = daily.refresh(spark, base, str(landing), date(2010, 12, 3), AS_OF)
+    house = daily.refresh(spark, base, str(landing), date(2010, 12, 4), AS_OF)
+    full = daily.refresh(spark, str(tmp_path / "full"), str(landing), None, AS_OF)
+    by_day, whole = contents(spark, house), contents(spark, full)
+    assert by_day == whole
+    assert all(by_day.values())
+    assert not Path(house.pending).exists()
     fact = read_table(spark, full.fact_sales, schemas.FACT_SALES)
     assert sum(r.line_item_total_amount for r in fact.collect()) == sum(
         r.total_sales_this_month
@@ -184,3 +194,69 @@ def test_daily_runs_add_up_to_a_backfill(spark, tmp_path):
             fact, read_table(spark, full.dim_products, schemas.DIM_PRODUCTS)
         ).collect()
     )
+
+
+def test_a_run_that_dies_is_made_good(spark, tmp_path, monkeypatch):
+    landing, base = tmp_path / "landing", str(tmp_path / "daily")
+    land(landing, "20101201")
+    daily.refresh(spark, base, str(landing), date(2010, 12, 1), AS_OF)
+    land(landing, "20101203")
+    with monkeypatch.context() as patch:
+        patch.setattr(daily, "build_fact", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            daily.refresh(spark, base, str(landing), date(2010, 12, 3), AS_OF)
+    house = daily.refresh(spark, base, str(landing), date(2010, 12, 4), AS_OF)
+    full = daily.refresh(spark, str(tmp_path / "full"), str(landing), None, AS_OF)
+    assert contents(spark, house) == contents(spark, full)
+
+
+def test_emptied_periods_go(spark, tmp_path):
+    landing, base = tmp_path / "landing", str(tmp_path / "house")
+    for name in DAYS:
+        land(landing, name)
+    daily.refresh(spark, base, str(landing), None, AS_OF)
+    house = daily.refresh(spark, base, str(landing), None, date(2010, 12, 2))
+    full = daily.refresh(spark, str(tmp_path / "full"), str(landing), None, date(2010, 12, 2))
+    assert contents(spark, house) == contents(spark, full)
+    # A run for a day that is now after as_of.
+    house = daily.refresh(spark, base, str(landing), date(2010, 12, 2), date(2010, 12, 1))
+    days = read_table(spark, house.fact_sales, schemas.FACT_SALES).select("invoice_day")
+    assert {r[0] for r in days.collect()} == {date(2010, 12, 1)}
+    days = read_table(spark, house.agg_daily_sales, schemas.AGG_DAILY_SALES).select("sale_date")
+    assert {r[0] for r in days.collect()} == {date(2010, 12, 1)}
+
+
+def test_a_corrected_file_is_reloaded(spark, tmp_path):
+    landing, base = tmp_path / "landing", str(tmp_path / "house")
+    for name in DAYS:
+        land(landing, name)
+    daily.refresh(spark, base, str(landing), None, AS_OF)
+    # Other numbers, other days; the old day of one of its rows becomes empty.
+    (landing / "20101202_sales.csv").write_text(
+        HEADER + "3,A,mug,100,12/5/2010 8:26,2.55,8,Spain\n"
+    )
+    house = daily.refresh(spark, base, str(landing), date(2010, 12, 2), AS_OF, reload=True)
+    full = daily.refresh(spark, str(tmp_path / "full"), str(landing), None, AS_OF)
+    assert contents(spark, house) == contents(spark, full)
+    fact = read_table(spark, house.fact_sales, schemas.FACT_SALES)
+    assert {r.quantity for r in fact.where("invoice_no = '3'").collect()} == {100}
+    assert fact.where("invoice_day = '2010-12-02'").isEmpty()
+
+
+def test_texts_survive_being_written_as_csv(spark, tmp_path):
+    texts = ["  padded ", "\ttab\t", 'a "quote", and comma', "", None, " "]
+    raw = spark.createDataFrame(
+        [("1", "A", text, 1, "12/1/2010 8:26", None, "7", "UK") for text in texts],
+        schemas.RAW_SALES,
+    )
+    path = str(tmp_path / "csv")
+    raw.write.options(**CSV_WRITE_OPTIONS).csv(path)
+    assert rows(read_raw_sales(spark, path)) == rows(raw)
+
+
+def test_a_line_break_in_a_text_stops_the_job(spark, tmp_path):
+    (tmp_path / "20101201_sales.csv").write_text(
+        HEADER + '1,A,"two\nlines",2,12/1/2010 8:26,2.55,7,UK\n'
+    )
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE"):
+        read_raw_sales(spark, str(tmp_path)).collect()

@@ -177,11 +177,34 @@ def test_a_hot_key_is_summed_up_before_the_join(skewed, mart):
     )
 
 
-def test_shuffles_grow_with_the_input(spark, monkeypatch, with_settings):
+def test_shuffles_grow_with_the_input(spark, with_settings):
+    assert sizing.partitions_for(0) == 1
+    assert sizing.partitions_for(100 * 10**12) == 745_059  # no ceiling unless one is given
+    assert sizing.partitions_for(100 * 10**12, most=50_000) == 50_000
     with_settings(spark__sql__shuffle__partitions="8")
-    assert sizing.fit_shuffles(spark, SMALL) == 8
-    monkeypatch.setattr(sizing, "BYTES_PER_PARTITION", 10_000)
-    grown = sizing.fit_shuffles(spark, SMALL)
-    assert grown > 8 and spark.conf.get("spark.sql.shuffle.partitions") == str(grown)
-    monkeypatch.setattr(sizing, "BYTES_PER_PARTITION", 10**9)
-    assert sizing.fit_shuffles(spark, SMALL) == grown
+    with sizing.fitted_shuffles(spark, SMALL, "/no/such/path") as fitted:
+        assert fitted == 8
+    with sizing.fitted_shuffles(spark, SMALL, bytes_per_partition=10_000) as fitted:
+        assert fitted > 8 and spark.conf.get("spark.sql.shuffle.partitions") == str(fitted)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
+def test_every_invoice_time_is_parsed_once(spark):
+    """Counted in the plan of staging and in that of the fact on top of it."""
+    stg = registry.stg_transactions(spark, SMALL)
+    for frame in (stg, registry.fact_sales(spark, SMALL)):
+        text = plan(frame)
+        assert text.count("regexp_replace(") == 1, text
+
+
+def test_top_products_join_texts_after_the_cut(stored_tables):
+    stg, fact = stored_tables
+    text = plan(marts.top_n_products_monthly(fact, products.dim_products(stg)))
+    cut, semi = text.index("WindowGroupLimit"), text.index("LeftSemi")
+    assert text.index("Join") < cut < semi  # texts join on top, codes below
+
+
+def test_stored_staging_has_the_columns_that_are_read(spark):
+    stg = registry._stored_stg(spark, SMALL, *registry._OF_CUSTOMERS)
+    assert stg.columns == list(registry._OF_CUSTOMERS)
+    assert "description" not in stg.columns and "stock_code" not in stg.columns
