@@ -29,9 +29,22 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_KEYS = 2_500  # sampled keys per bracket and round
-FETCH_KEYS = 10_000  # rows that may be left inside the brackets of a measure at the end
-MAX_ROUNDS = 100  # a round divides what is left by about 12; only equal keys never part
+
+@dataclass(frozen=True)
+class Effort:
+    """What the search for tile ends may spend; the tiles are the same whatever it is.
+
+    A round is two scans of the measures and divides what is left in the brackets by about
+    sqrt(sample_keys) / 4, so four rounds suffice for 10^9 rows.  Beyond ``max_rounds`` the
+    search gives up with an error: only rows of equal keys never part.
+    """
+
+    #: Keys sampled for each bracket and round; all of a round reach the driver.
+    sample_keys: int = 10_000
+    #: Keys left in a measure's brackets that are fetched to end the search.
+    fetch_keys: int = 50_000
+    max_rounds: int = 100
+
 
 Key = tuple[Any, Any]  # (value, id)
 
@@ -124,7 +137,11 @@ class _Search:
 
 
 def exact_ntiles(
-    df: DataFrame, measures: dict[str, Column], id_column: str, tiles: int = 5
+    df: DataFrame,
+    measures: dict[str, Column],
+    id_column: str,
+    tiles: int = 5,
+    effort: Effort = Effort(),
 ) -> DataFrame:
     """Add one BIGINT tile number, 1 to ``tiles``, per entry of ``measures``.
 
@@ -138,7 +155,7 @@ def exact_ntiles(
         _Search(measure, ident, [_Bracket(rank, None, None, 0, total) for rank in ranks])
         for measure in measures.values()
     ]
-    ends = _close_in(df, searches) if ranks else [[] for _ in searches]
+    ends = _close_in(df, searches, effort) if ranks else [[] for _ in searches]
     return df.withColumns(
         {name: search.tile(keys) for name, search, keys in zip(measures, searches, ends)}
     )
@@ -159,7 +176,7 @@ def _row_count(df: DataFrame, columns: list[Column]) -> int:
     return total
 
 
-def _close_in(df: DataFrame, searches: list[_Search]) -> list[list[Key]]:
+def _close_in(df: DataFrame, searches: list[_Search], effort: Effort) -> list[list[Key]]:
     """The keys at the ranks that each search is after."""
 
     def fetch(wanted: list[_Search], fraction: float | None = None, seed: int = 0):
@@ -169,12 +186,12 @@ def _close_in(df: DataFrame, searches: list[_Search]) -> list[list[Key]]:
         rows = rows.select(wanted[0].ident, *(search.value for search in wanted)).collect()
         return [sorted((row[i], row[0]) for row in rows) for i, _ in enumerate(wanted, start=1)]
 
-    for turn in range(MAX_ROUNDS):
-        wide = [s for s in searches if s.left > FETCH_KEYS + len(s.brackets)]
+    for turn in range(effort.max_rounds):
+        wide = [s for s in searches if s.left > effort.fetch_keys + len(s.brackets)]
         if not wide:
             return [s.found(keys) for s, keys in zip(searches, fetch(searches))]
         spans = sum(len(search.spans) for search in wide)
-        share = SAMPLE_KEYS * spans / sum(search.left for search in wide)
+        share = effort.sample_keys * spans / sum(search.left for search in wide)
         cuts = [
             sorted({key for b in search.brackets for key in b.suggest(b.slice(sample))})
             for search, sample in zip(wide, fetch(wide, min(1.0, share), seed=turn))

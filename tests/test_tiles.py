@@ -10,9 +10,9 @@ from salesmart.operators import tiles
 from salesmart.operators.tiles import exact_ntiles
 
 
-def check(df, tile_count=5):
+def check(df, tile_count=5, effort=tiles.Effort()):
     """Compare with the built-in function, which gathers all rows in one task."""
-    ours = exact_ntiles(df, {"tile": F.col("value")}, "id", tile_count)
+    ours = exact_ntiles(df, {"tile": F.col("value")}, "id", tile_count, effort)
     order = W.orderBy("value", "id")
     theirs = df.withColumn("tile", F.ntile(tile_count).over(order).cast("bigint"))
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, theirs.collect()))
@@ -28,11 +28,8 @@ def test_sizes(spark, size):
     check(frame(spark, [(i * 7) % 11 for i in range(size)]))
 
 
-@pytest.fixture
-def few_keys(monkeypatch):
-    """So few keys may be sampled and fetched that small tables take many rounds."""
-    monkeypatch.setattr(tiles, "SAMPLE_KEYS", 12)
-    monkeypatch.setattr(tiles, "FETCH_KEYS", 8)
+#: So few keys may be sampled and fetched that small tables take many rounds.
+FEW_KEYS = tiles.Effort(sample_keys=12, fetch_keys=8, max_rounds=1000)
 
 
 @pytest.mark.parametrize(
@@ -44,9 +41,9 @@ def few_keys(monkeypatch):
     ],
     ids=["ties", "hot value", "decimals"],
 )
-def test_many_rounds(spark, few_keys, values):
+def test_many_rounds(spark, values):
     kind = "decimal(38,9)" if isinstance(values[0], Decimal) else "long"
-    check(frame(spark, values, kind).repartition(4))
+    check(frame(spark, values, kind).repartition(4), effort=FEW_KEYS)
 
 
 @settings(
@@ -59,26 +56,25 @@ def test_many_rounds(spark, few_keys, values):
     values=st.lists(st.integers(-5, 5) | st.integers(-(10**15), 10**15), max_size=60),
     tile_count=st.integers(1, 7),
 )
-def test_any_values(spark, few_keys, values, tile_count):
-    check(frame(spark, values).coalesce(1), tile_count)
+def test_any_values(spark, values, tile_count):
+    check(frame(spark, values).coalesce(1), tile_count, FEW_KEYS)
 
 
-def test_a_useless_sample_only_costs_rounds(spark, few_keys, monkeypatch):
+def test_a_useless_sample_only_costs_rounds(spark, monkeypatch):
     """Suggest the ends of the sample, whatever the wanted rank."""
     monkeypatch.setattr(
         tiles._Bracket, "suggest", lambda self, sample: sample[:1] + sample[-1:]
     )
-    monkeypatch.setattr(tiles, "MAX_ROUNDS", 1000)
-    check(frame(spark, [i % 10 for i in range(30)]).coalesce(1))
+    check(frame(spark, [i % 10 for i in range(30)]).coalesce(1), effort=FEW_KEYS)
 
 
-def test_several_measures_in_one_search(spark, few_keys):
+def test_several_measures_in_one_search(spark):
     rows = spark.range(300).select(
         F.format_string("c%03d", "id").alias("id"),
         (F.col("id") * 7 % 50).alias("a"),
         (-F.col("id") * 11 % 300).alias("b"),
     )
-    ours = exact_ntiles(rows, {"x": F.col("a"), "y": -F.col("b")}, "id")
+    ours = exact_ntiles(rows, {"x": F.col("a"), "y": -F.col("b")}, "id", effort=FEW_KEYS)
     theirs = rows.withColumns(
         {
             "x": F.ntile(5).over(W.orderBy("a", "id")).cast("bigint"),
@@ -113,11 +109,11 @@ def test_null_measures_are_refused(spark):
         exact_ntiles(frame(spark, [1, None]), {"tile": F.col("value")}, "id")
 
 
-def test_equal_keys_are_refused(spark, few_keys, monkeypatch):
-    monkeypatch.setattr(tiles, "MAX_ROUNDS", 3)
+def test_equal_keys_are_refused(spark):
+    effort = tiles.Effort(sample_keys=12, fetch_keys=8, max_rounds=3)
     same = spark.range(100).select(F.lit("c").alias("id"), F.lit(1).alias("value"))
     with pytest.raises(ValueError, match="unique"):
-        exact_ntiles(same, {"tile": F.col("value")}, "id")
+        exact_ntiles(same, {"tile": F.col("value")}, "id", effort=effort)
 
 
 def test_no_task_gets_all_rows(spark):
