@@ -500,7 +500,8 @@ def join(
         "blocks",
         F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"),
     )
-    texts = rows.join(placed, "doc_id")
+    # How many documents have candidates is not known beforehand: never a broadcast.
+    texts = rows.join(placed.hint("merge"), "doc_id")
     verified = stored(
         texts.select("group", "block", "blocks", "class", "copies", "text")
         .repartition("group", "block")
