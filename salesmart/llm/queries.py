@@ -20,6 +20,7 @@ from salesmart.llm import (
     toxicity,
 )
 from salesmart.llm.common import id_remainder, table
+from salesmart.llm.sql import ORACLES
 from salesmart.llm.tokens import default_tokenizer
 
 
@@ -121,4 +122,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
