@@ -55,7 +55,9 @@ def centroids(units: np.ndarray, cells: int, seed: int = 7) -> np.ndarray:
     return centres
 
 
-def guests(units: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def guests(
+    units: np.ndarray, centres: np.ndarray, threshold: float
+) -> tuple[np.ndarray, np.ndarray]:
     """The home cell of each row, and a mask (rows x cells) of the cells it visits.
 
     Vectors x and y with a cosine of ``threshold`` differ by at most r = sqrt(2 - 2
@@ -207,7 +209,9 @@ def near_copies(
     exact = stored(exact, "links")
     links = exact.where("links IS NOT NULL").groupBy("class").agg(F.sum("links").alias("links"))
     linked = components(
-        exact.where("other IS NOT NULL").select(F.col("class").alias("a"), F.col("other").alias("b"))
+        exact.where("other IS NOT NULL").select(
+            F.col("class").alias("a"), F.col("other").alias("b")
+        )
     ).select(F.col("node").alias("class"), "component")
     of_class = (
         classes.select("class", "class_id", "copies")

@@ -78,6 +78,7 @@ class Shingler:
         self.words = words
         self.index: dict[bytes, int] = {}
         self.hashes = np.empty(1 << 16, np.uint64)
+        self.used = 0
 
     def _learn(self, word: bytes) -> int:
         plain = "".join(filter(str.isalnum, word.decode(errors="replace").lower()))
@@ -92,8 +93,6 @@ class Shingler:
         self.used += 1
         return at
 
-    used = 0
-
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         out = []
         for text in texts:
@@ -333,7 +332,9 @@ def _exact(names_x, sets_x, copies_x, names_y, sets_y, copies_y, threshold, same
 
 
 _VERIFIED = "class long, links long, other long"
-_VERIFIED_BLOCKS = f"{_VERIFIED}, group long, block int, names binary, copies binary, sizes binary, data binary"
+_VERIFIED_BLOCKS = (
+    f"{_VERIFIED}, group long, block int, names binary, copies binary, sizes binary, data binary"
+)
 
 
 def _verify_groups(words: int, threshold: float):
@@ -475,10 +476,7 @@ def join(
         "classes",
     )
     minima = stored(
-        joined.select(
-            "class", "minima", "sketch"
-        ).dropDuplicates(["class"]),
-        "minima",
+        joined.select("class", "minima", "sketch").dropDuplicates(["class"]), "minima"
     )
     edges = _candidate_edges(minima, threshold, runs_needed(threshold, DEEPEST, target_recall))
     groups = components(edges).select(
@@ -520,7 +518,9 @@ def join(
     )
     links = exact.groupBy("class").agg(F.sum("links").alias("links"))
     linked = components(
-        exact.where("other IS NOT NULL").select(F.col("class").alias("a"), F.col("other").alias("b"))
+        exact.where("other IS NOT NULL").select(
+            F.col("class").alias("a"), F.col("other").alias("b")
+        )
     ).select(F.col("node").alias("class"), "component")
     of_class = (
         classes.join(links, "class", "left")
@@ -537,7 +537,8 @@ def join(
     alone = F.col("class_id").isNull()
     return (
         described.select(
-            "doc_id", F.when(F.expr("doc_id IS NOT NULL AND ngrams > 0"), F.col("class")).alias("class")
+            "doc_id",
+            F.when(F.expr("doc_id IS NOT NULL AND ngrams > 0"), F.col("class")).alias("class"),
         )
         .join(of_class, "class", "left")
         .select(

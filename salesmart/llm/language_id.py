@@ -111,7 +111,10 @@ def model_of(languages: list[str], counts: pd.DataFrame) -> Model:
         grams = sorted(set(part["gram"]))
         rows = {gram: i for i, gram in enumerate(grams)}
         table = np.full((len(grams), len(languages)), 0.5)
-        where = part["gram"].map(rows).to_numpy(dtype=int), part["lang"].map(position).to_numpy(dtype=int)
+        where = (
+            part["gram"].map(rows).to_numpy(dtype=int),
+            part["lang"].map(position).to_numpy(dtype=int),
+        )
         np.add.at(table, where, part["times"].to_numpy(dtype=float))
         model.rows.append(rows)
         model.logs.append(np.log(table / table.sum(axis=0, keepdims=True)) if grams else table)

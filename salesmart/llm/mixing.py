@@ -187,7 +187,8 @@ def mix(
     slots = np.round(
         sources["target"] * blocks / np.maximum(sources["source_size"], 1)
     ).to_numpy(dtype=np.int64)
-    sources["blocks"], sources["slots"] = blocks, np.minimum(slots, blocks * int(-(-most_passes // 1)))
+    sources["blocks"] = blocks
+    sources["slots"] = np.minimum(slots, blocks * int(-(-most_passes // 1)))
     listed = spark.createDataFrame(
         [(r["source"], i) for i, r in enumerate(found)], "source string, position long"
     )
@@ -227,7 +228,9 @@ def mix(
             ),
         )
         .withColumn("from", F.greatest("begin", F.col("block") * block_words))
-        .withColumn("to", F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block_words))
+        .withColumn(
+            "to", F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block_words)
+        )
         .select(
             "position",
             "block",
@@ -262,7 +265,11 @@ def taken(planned: Mix) -> DataFrame:
         "left",
     )
     return whole.join(F.broadcast(sources), "position").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
     )
 
 

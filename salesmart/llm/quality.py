@@ -44,6 +44,7 @@ _CLASSES = {
     "angle": b"<>{}[]()/\\=_+",
     "quote": b"\"'`;:-",
 }
+_SIGNS = tuple(bytes([b]) for b in range(33, 127) if not chr(b).isalnum())
 _NAMES = [*_CLASSES, "other_ascii", "beyond_ascii"]
 
 
@@ -91,7 +92,7 @@ def statistics(text: bytes) -> list[float]:
         len(distinct) / n,
         max(distinct.values(), default=0) / n,
         sum(times for word, times in distinct.items() if word.isupper()) / n,
-        sum(times for word, times in distinct.items() if not word[-1:].isalnum() and word[-1] < 128) / n,
+        sum(times for word, times in distinct.items() if word.endswith(_SIGNS)) / n,
         sum(times for word, times in distinct.items() if len(word) <= 3) / n,
         float(np.log1p(len(lines))),
         len(set(lines)) / m,
