@@ -96,7 +96,7 @@ def stg_transactions(spark: SparkSession, tables: str) -> DataFrame:
     return _stg(spark, tables)
 
 
-def _land(raw: DataFrame, landing: str) -> None:
+def _land(raw: DataFrame, landing: str, mark: str = "") -> None:
     """Raw sales as landed files of the last day of each invoice year, in parts."""
     spark = raw.sparkSession
     written = scratch_path(spark, "to_land")
@@ -104,7 +104,7 @@ def _land(raw: DataFrame, landing: str) -> None:
     raw.withColumn("year", year).write.options(**CSV_WRITE_OPTIONS).partitionBy("year").csv(written)
     for n, file in enumerate(sorted(files_below(spark, written, ".csv"))):
         of_year = file.removeprefix("year=")[:4]
-        rename(spark, f"{written}/{file}", f"{landing}/{of_year}1231_{n}_sales.csv")
+        rename(spark, f"{written}/{file}", f"{landing}/{of_year}1231_{n}_{mark}sales.csv")
 
 
 def _is_early() -> Column:
@@ -139,9 +139,7 @@ def refreshed_late_rows(spark: SparkSession, tables: str) -> DataFrame:
     raw = stored(_raw(spark, tables), "raw_sales")
     _land(raw.where(~_is_late()), landing)
     refresh(spark, base, landing, as_of=LATER)
-    _land(raw.where(_is_late()), scratch_landing := landing + "_late")
-    for file in files_below(spark, scratch_landing, ".csv"):
-        rename(spark, f"{scratch_landing}/{file}", f"{landing}/{file.replace('_sales', '_late_sales')}")
+    _land(raw.where(_is_late()), landing, "late_")
     house = refresh(spark, base, landing, RUN_DATE, LATER)
     return read_table(spark, house.agg_daily_sales, schemas.AGG_DAILY_SALES)
 
@@ -485,7 +483,8 @@ def oracle_sql() -> dict[str, str]:
         "raw_sales_csv": _sql("raw"),
         "stg_transactions": _sql("stg"),
         "ingest_landed": _sql("stg").replace(
-            "SELECT * FROM stg", "SELECT *, make_date(year(invoice_date), 12, 31) AS load_date FROM stg"
+            "SELECT * FROM stg",
+            "SELECT *, make_date(year(invoice_date), 12, 31) AS load_date FROM stg",
         ),
         "dim_dates": _sql("dates"),
         "dim_products": _sql("products"),

@@ -19,7 +19,8 @@ SETTINGS = {
 LARGE_CLUSTER_SETTINGS = {
     # Fewer, longer map tasks: the blocks of a shuffle are maps x reduces.
     "spark.sql.files.maxPartitionBytes": "512m",
-    # Fetched shuffle blocks outlive an executor that is lost after its map stage.
+    # An executor that is told to leave hands its shuffle blocks over first.  One that is lost
+    # without notice takes them along, and Spark runs those map tasks again.
     "spark.decommission.enabled": "true",
     "spark.storage.decommission.shuffleBlocks.enabled": "true",
 }
