@@ -107,6 +107,8 @@ def _open(path: str):
     """The file system of a path or URI, and the path in it."""
     from pyarrow import fs
 
+    if path.startswith("file:"):  # Hadoop writes these in ways that are no URIs elsewhere
+        path = f"/{path.removeprefix('file:').lstrip('/')}"
     return fs.FileSystem.from_uri(path)
 
 
