@@ -211,9 +211,11 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     Frames are read wherever there is room, files in one piece; a manifest filtered to some
     frames reads no others.
     """
+    files = max(1, manifest.select("file").distinct().count())
     return (
         manifest.select("file", "frame", "first")
-        .repartition(F.col("file"))
+        # A fixed number: by the few bytes of the manifest Spark would make it one task.
+        .repartition(files, "file")
         .mapInPandas(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
     )
 
