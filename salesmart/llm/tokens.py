@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import cache
 
@@ -10,6 +11,8 @@ import numpy as np
 
 #: Bytes that end a word without being letters, digits or part of a special token's name.
 _ENDINGS = b".,!?;:%&$#*"
+#: A full stop or comma that ends a plain word: a piece of its own.
+_LAST = re.compile(rb"[.,](?<=[A-Za-z0-9][.,])(?=[ \n])")
 #: Distinct words that a worker remembers; half of them are the ones met last.
 REMEMBERED = 700_000
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
@@ -117,7 +120,7 @@ class Encoder:
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each UTF-8 text, as arrays of unsigned 32-bit integers."""
-        split = [text.split() for text in texts]
+        split = [_LAST.sub(rb" \g<0>", text).split() for text in texts]
         if len(self.new.row) > REMEMBERED // 2:
             self.new, self.old = _Generation(), self.new
         new, old = self.new, self.old
