@@ -17,6 +17,26 @@ ROWS_PER_BUCKET = 20_000
 CHARS_AT_A_TIME = 4_000_000
 
 
+_tools: dict = {}
+
+
+def kept_tool(key: tuple, make: Callable):
+    """What a worker keeps from task to task for one operator, like words it has met.
+
+    Workers outlive stages: the tool of one operator goes when another asks for its own, so
+    that memory holds one of them.
+    """
+    if key not in _tools:
+        _tools.clear()
+        _tools[key] = make()
+    return _tools[key]
+
+
+def drop_tools() -> None:
+    """For tasks that keep nothing themselves."""
+    _tools.clear()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back.
 

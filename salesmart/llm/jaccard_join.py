@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesmart.llm.common import batched, components, find_roots, per_run, stored
+from salesmart.llm.common import batched, components, find_roots, kept_tool, per_run, stored
 from salesmart.llm.tokens import in_portions
 
 WORDS = 5
@@ -43,7 +43,7 @@ SKETCH = 32
 BLOCK_CLASSES = 512
 BLOCK_NGRAMS = 400_000
 #: Distinct words whose hashes a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def runs_needed(
@@ -116,10 +116,9 @@ class Shingler:
         return np.unique(mixed(rolled + np.uint64(n)))
 
 
-@cache
 def shingler(words: int) -> Shingler:
-    """The worker's shingler, so that words are remembered from task to task."""
-    return Shingler(words)
+    """The worker's shingler: what one task has remembered serves the next."""
+    return kept_tool(("shingler", words), lambda: Shingler(words))
 
 
 @cache

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salesmart.llm.common import drop_tools
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Longest character n-gram; a word is framed by blanks first.
 LONGEST_NGRAM = 4
@@ -36,6 +38,7 @@ def ngrams(word: str, n: int) -> list[str]:
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    drop_tools()
     counts: dict[tuple[str, int], Counter] = {}
     for frame in frames:
         for lang, text in zip(frame["lang"], frame["text"]):
@@ -164,6 +167,7 @@ def identifier(model: Model):
 
     @F.pandas_udf(SCHEMA)
     def language(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        drop_tools()
         guesser = Guesser(model)
         for texts in batches:
             found = [guesser.guess(text) for text in texts]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from salesmart.llm.common import running_start, stored
+from salesmart.llm.common import drop_tools, running_start, stored
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _WORD = re.compile(WORD_PATTERN)
@@ -125,6 +125,7 @@ def draw(slots: Sequence[int], shards: int, seed: int = SEED) -> np.ndarray:
 
 
 def _slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    drop_tools()
     for frame in frames:
         for row in frame.itertuples():
             for begin in range(row.first, row.first + row.number, 200_000):

@@ -5,16 +5,17 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import cache
 
 import numpy as np
 
+from salesmart.llm.common import kept_tool
+
 #: Bytes that end a word without being letters, digits or part of a special token's name.
 _ENDINGS = b".,!?;:%&$#*"
 #: A full stop or comma that ends a plain word: a piece of its own.
 _LAST = re.compile(rb"[.,](?<=[A-Za-z0-9][.,])(?=[ \n])")
 #: Distinct words that a worker remembers; half of them are the ones met last.
-REMEMBERED = 700_000
+REMEMBERED = 560_000
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
 
@@ -24,7 +25,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(DEFAULT_TOKENIZER)
 
 
-@cache
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
     from tokenizers import Tokenizer
@@ -145,10 +145,9 @@ class Encoder:
         return out
 
 
-@cache
 def encoder(path: str) -> Encoder:
     """The worker's encoder: what one task has remembered serves the next."""
-    return Encoder(path)
+    return kept_tool(("encoder", path), lambda: Encoder(path))
 
 
 def in_portions(texts: list[bytes | None], most: int):

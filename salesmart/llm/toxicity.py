@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesmart.llm.common import id_remainder, smallest_hashes
+from salesmart.llm.common import drop_tools, id_remainder, smallest_hashes
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -189,6 +189,7 @@ def scorer(model: Model):
 
     @F.pandas_udf(SCHEMA)
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        drop_tools()
         known: dict[str, float] = {}
         for texts in batches:
             rows = [judge(text or "", model, known) for text in texts]
