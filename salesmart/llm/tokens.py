@@ -15,7 +15,7 @@ _ENDINGS = b".,!?;:%&$#*"
 #: A full stop or comma that ends a plain word: a piece of its own.
 _LAST = re.compile(rb"[.,](?<=[A-Za-z0-9][.,])(?=[ \n])")
 #: Distinct words that a worker remembers; half of them are the ones met last.
-REMEMBERED = 560_000
+REMEMBERED = 280_000
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
 
