@@ -42,8 +42,8 @@ except ImportError as missing:
 
 AS_OF = date(2001, 8, 2)
 RUN_DATE = date(1998, 6, 15)
-# The last days of two backfills; few, as every day is a folder of its own.
-LATER, EARLIER = date(1992, 4, 30), date(1992, 2, 29)
+# The last days of two backfills: all rows go through the first, and the second removes some.
+LATER, EARLIER = AS_OF, date(2001, 3, 15)
 
 
 def _raw(spark: SparkSession, tables: str) -> DataFrame:

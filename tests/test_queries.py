@@ -42,6 +42,22 @@ def test_query_equals_sql(result, name):
     assert ours[1] == theirs[1]
 
 
+def test_backfills_are_of_all_rows(result):
+    """The daily runs are compared on rows, and the earlier last day takes some away."""
+    def rows(name):
+        return result(name, SMALL)[1]
+
+    assert rows("refreshed_late_rows") == rows("agg_daily_sales_history")
+    assert rows("refreshed_late_rows").total() == 1_199
+    whole, earlier = rows("fact_sales"), rows("refreshed_earlier_as_of")
+    assert whole.total() == 3_721
+    assert 0 < earlier.total() < whole.total() and earlier <= whole
+    day = result("fact_sales", SMALL)[0].index("invoice_day")
+    assert earlier == Counter(
+        {row: n for row, n in whole.items() if row[day] <= registry.EARLIER}
+    )
+
+
 def test_entry(spark):
     assert registry.entry(spark).count() == 439
 
