@@ -26,9 +26,9 @@ STEPS = 12
 #: Classes for each centroid, and the most centroids that a task compares a vector with.
 CLASSES_PER_CELL = 4_096
 MOST_CELLS = 1_024
-#: How far a guest may stand off, in standard deviations of the projection of a random
-#: difference: see ``guests``.
-DEVIATIONS = 6.0
+#: Share of the cells that a vector visits beyond which cells rule out too little: one cell then
+#: compares about the same pairs and holds each vector once.
+MOST_VISITED = 0.5
 #: Vectors in a block.
 BLOCK = 2_048
 #: Rows multiplied at a time.
@@ -62,13 +62,12 @@ def guests(
 
     Vectors x and y with a cosine of ``threshold`` differ by at most r = sqrt(2 - 2
     threshold).  If x is at home in c and y in h, then y.(h - c) <= (y - x).(h - c), at most
-    r |h - c|.  That bound is exact; for a difference in a random direction of d dimensions
-    the right side has the deviation r |h - c| / sqrt(d), of which ``DEVIATIONS`` are allowed:
-    all of the bound up to 36 dimensions, and beyond that a miss in 10^9 links.
+    r |h - c|.  Near-copies may differ in any direction, so nothing less than that will do,
+    however many dimensions there are.
     """
     scores = units @ centres.T
     home = np.argmax(scores, axis=1)
-    reach = np.sqrt(2 - 2 * threshold) * min(1.0, DEVIATIONS / np.sqrt(units.shape[1])) + 1e-9
+    reach = np.sqrt(2 - 2 * threshold) + 1e-9
     apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
     gap = scores[np.arange(len(units)), home][:, None] - scores
     return home, gap <= reach * apart[home]
@@ -247,7 +246,10 @@ def _links_of_length(
     )
     vectors = np.array([r["vector"] for r in sample.select("vector").toLocalIterator()], np.float64)
     cells = max(1, min(MOST_CELLS, -(-number // CLASSES_PER_CELL)))
-    centres = centroids(unit_rows(vectors), cells)
+    units = unit_rows(vectors)
+    centres = centroids(units, cells)
+    if guests(units[:TILE], centres, threshold)[1].mean() > MOST_VISITED:
+        centres = centres[:1]
     placed = stored(
         classes.select("part", "class", "copies", "vector").mapInPandas(
             _cells(centres, threshold),

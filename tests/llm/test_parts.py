@@ -133,6 +133,20 @@ def test_guests_miss_no_link():
     assert visits.mean() < 0.9
 
 
+@pytest.mark.parametrize("dimensions, rank", [(64, 3), (768, 8)])
+def test_guests_miss_no_link_of_low_rank(dimensions, rank):
+    """Vectors of many components that vary in few directions, against all pairs."""
+    rng = np.random.default_rng(2)
+    few = rng.normal(size=(1_500, rank))
+    few = np.concatenate([few, few + rng.normal(size=few.shape) * 0.3])
+    units = few @ np.linalg.qr(rng.normal(size=(dimensions, rank)))[0].T
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    home, visits = embedding_dedup.guests(units, embedding_dedup.centroids(units, 25), 0.93)
+    i, j = np.nonzero(units @ units.T >= 0.93)
+    assert (home[i] != home[j]).sum() > 200
+    assert visits[j, home[i]].all()
+
+
 def test_shared_runs_are_covered():
     menu, foot = "home about contact news shop help terms jobs".split(), "all rights reserved by us since long ago".split()
     pages = [[*menu, f"own{i}", f"text{i}", *foot] for i in range(3)]
