@@ -1,6 +1,7 @@
 """Every operator and stage on nulls, empty and long texts, repeats, empty tables, clashes."""
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,32 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_html_of_a_large_host(spark, monkeypatch):
+    """A host dealt out over tasks gives what one task gives."""
+    random = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(300)] + ["é", "&amp;"]
+    passages = [" ".join(random.choice(words, 12)) for _ in range(20)]
+    rows = []
+    for i in range(80):
+        own = [" ".join(random.choice(words, n)) for n in (5, 30)]
+        shared = [passages[k] for k in random.integers(0, 20, 2)]
+        parts = ["home about us contact news shop help terms jobs", own[0], *shared, own[1]]
+        page = "".join(f"<p>{part}</p>" for part in parts)
+        rows += [(i, f"http://{'ab'[i % 5 == 0]}.example/{i}", page)] * (1 + (i % 9 == 0))
+    rows += [(100, "http://a.example/x", ""), (101, "http://a.example/y", "<p>short"), (102, None, "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+
+    def texts():
+        return sorted((r.page_id, r.text) for r in html_text.extract(df).collect())
+
+    whole = texts()
+    monkeypatch.setattr(html_text, "BYTES_TOGETHER", 500)
+    assert texts() == whole
+    monkeypatch.setattr(html_text, "BYTES_TOGETHER", 8_000)  # one host of two
+    assert texts() == whole
+    assert not any("home about" in text for _, text in whole)
+
+
 def test_embeddings(spark):
     nan, inf = float("nan"), float("inf")
     schema = "vec_id long, embedding array<double>, label int, n_links string, class int"
