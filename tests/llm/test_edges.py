@@ -179,6 +179,17 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_html_that_only_mentions_an_article(spark):
+    menu = "<p>home about us contact news shop help terms jobs"
+    mentions = ("<!-- <article> -->", "<script>'<main>'</script>", "<article></article>", "")
+    rows = [(i, "http://a.example", f"{x}{menu}<p>{i} pages") for i, x in enumerate(mentions)]
+    rows += [(9, "http://a.example", f"{menu}<article id='related'>text</article>")]
+    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted((r.page_id, r.text) for r in out.collect()) == [
+        (0, "0 pages"), (1, "1 pages"), (2, "2 pages"), (3, "3 pages"), (9, "text"),
+    ]
+
+
 def test_html_of_a_large_host(spark, monkeypatch):
     """A host dealt out over tasks gives what one task gives."""
     random = np.random.default_rng(9)

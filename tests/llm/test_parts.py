@@ -176,6 +176,15 @@ def test_unmarked_pages_lose_what_their_host_repeats():
         ("<article>a<section class='comments'><p>c</section></article>", ["a"], []),
         ("1 < 2 &amp;amp; <b>b</b>old <img src='x", [], ["1 < 2 &amp; bold"]),
         ("<style>p{}</style><title>t</title>x", [], ["x"]),
+        (
+            "<p>o<article class='post category-social tag-newsletter'><h2 id='related-work'>R</h2>"
+            "<h2 id='notice'>N</h2><p class='ad-free'>a<p class='notice'>b<div class='ad'>c</div>",
+            ["R", "N", "a", "b"],
+            ["o"],
+        ),
+        ("<div class='x Ad'>a</div><div id='menu'>b</div><main role='banner'>m</main>", ["m"], []),
+        ("<article>a</article><ul class=comments><article class='comment'>c</ul>", ["a"], []),
+        ("<!-- <article> --><script>'<main>'</script><p>x", [], ["x"]),
     ],
 )
 def test_markup(page, article, others):
