@@ -2,7 +2,9 @@
 
 A document is toxic when one of its sentences is, so the probabilities of its sentences
 are combined by noisy-or, ``1 - prod(1 - p)``.  Only document labels are learned from; the
-sentence scores that come out locate the offending sentences.
+sentence scores that come out locate the offending sentences.  A sentence counts by what its
+telling words add to the chance of one without any, so such sentences count nothing, however
+many there are.
 """
 
 from __future__ import annotations
@@ -30,8 +32,7 @@ LONGEST_TRAINED = 50_000
 #: times its share of the others.
 LEAST_DOCUMENTS = 4
 LEAST_RATIO = 8.0
-#: Log odds of a sentence in which no word carries weight.  Fixed, not learned: a document must
-#: not become toxic by its length.
+#: Log odds of a sentence in which no word carries weight, from which the weights are counted.
 BIAS = -11.0
 #: Words whose weight a task remembers.
 REMEMBERED = 300_000
@@ -59,8 +60,9 @@ def features(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in BEGINNINGS if n < len(word))]
 
 
-def _softplus(z: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0.0, z)
+def _evidence(z: np.ndarray | float, bias: float) -> np.ndarray:
+    """-log(1 - p) of sentences with the log odds ``z``, beyond that of one without weight."""
+    return np.maximum(np.logaddexp(0.0, z) - np.logaddexp(0.0, bias), 0.0)
 
 
 def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.15) -> Model:
@@ -106,10 +108,11 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.1
     theta = np.full(len(chosen), 4.0)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     balance = np.where(y, len(y) / (2 * toxic), len(y) / (2 * clean))
+    least = np.logaddexp(0.0, BIAS)  # keeps the slope of a document without evidence finite
     for step in range(1, steps + 1):
         z = BIAS + np.bincount(s, theta[f], len(d))
-        total = np.bincount(d, _softplus(z), len(y))  # -log of the chance that none is toxic
-        slope = np.where(y, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0) * balance
+        total = np.bincount(d, _evidence(z, BIAS), len(y))  # -log of the chance of no toxic one
+        slope = np.where(y, -1 / np.expm1(np.clip(total, least, 500)), 1.0) * balance
         by_sentence = slope[d] / (1 + np.exp(-np.clip(z, -500, 500)))
         gradient = np.bincount(f, by_sentence[s], len(chosen)) / len(y) + 1e-4 * theta
         first = 0.9 * first + 0.1 * gradient
@@ -153,7 +156,6 @@ def judge(text: str, model: Model, known: dict[str, float]) -> tuple:
     chance of one half or more; a document over the threshold without such a sentence names
     its worst one.
     """
-    quiet = float(_softplus(np.float64(model.bias)))
     words = set(WORD.findall(text))
     if len(known) > REMEMBERED:
         known.clear()
@@ -161,18 +163,15 @@ def judge(text: str, model: Model, known: dict[str, float]) -> tuple:
         if word not in known:
             known[word] = model.word(word)
     if not any(known[word] for word in words):
-        n = sum(1 for _ in SENTENCE.finditer(text))
-        score = -np.expm1(-quiet * n)
-        return float(score), int(score >= 0.5), n, []
+        return 0.0, 0, sum(1 for _ in SENTENCE.finditer(text)), []
     total, n, found, worst = 0.0, 0, [], None
     for match in SENTENCE.finditer(text):
         n += 1
         z = sum(known[word] for word in set(WORD.findall(match.group())))
         if not z:
-            total += quiet
             continue
         z += model.bias
-        total += float(np.logaddexp(0.0, z))
+        total += float(_evidence(z, model.bias))
         span = (match.start(), match.end(), float(1 / (1 + np.exp(-min(max(z, -500), 500)))))
         if span[2] >= 0.5:
             found.append(span)
@@ -207,7 +206,7 @@ def scorer(model: Model):
 def toxicity(documents: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
     """All rows and columns of ``documents`` plus ``into``, a struct of ``SCHEMA``.
 
-    Nulls and empty texts score as documents without a sentence: 0.  Repeated rows are each
+    Nulls, empty texts and those without a telling word score 0.  Repeated rows are each
     scored; an empty table gives an empty result; other columns pass through untouched.
     """
     return documents.withColumn(into, scorer(model)(F.col("text")))

@@ -9,7 +9,15 @@ import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from salesmart.llm import embedding_dedup, html_text, jaccard_join, mixing, packing, token_files
+from salesmart.llm import (
+    embedding_dedup,
+    html_text,
+    jaccard_join,
+    mixing,
+    packing,
+    token_files,
+    toxicity,
+)
 from salesmart.llm.common import components, find_roots, running_start
 from salesmart.llm.tokens import Encoder, default_tokenizer
 
@@ -191,6 +199,19 @@ def test_markup(page, article, others):
     assert html_text.blocks(page) == (article, others)
 
 
+def test_length_alone_is_not_toxic():
+    model = toxicity.Model({"=vile": 14.0, "=kind": -1.0, "=odd": 1e-3}, toxicity.BIAS)
+    clean = "1.2.3.4 a kind word\n" * 50_000
+    for text in (clean, "version one. " * 200_000):
+        score, predicted, n, found = toxicity.judge(text, model, {})
+        assert (score, predicted, found) == (0, 0, []) and n >= 200_000
+    assert toxicity.judge("odd. " * 200_000, model, {})[1] == 0
+    one = toxicity.judge("a vile word.", model, {})
+    among = toxicity.judge(clean + "a vile word." + clean, model, {})
+    assert one[0] == pytest.approx(among[0]) and one[0] > 0.9 and among[1] == 1
+    assert [span[:2] for span in among[3]] == [(len(clean), len(clean) + 11)]
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
