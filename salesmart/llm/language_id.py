@@ -29,7 +29,7 @@ LEAST_COUNT = 3
 #: Words whose scores a task remembers.
 REMEMBERED = 200_000
 UNDETERMINED = "und"
-SCHEMA = "lang_pred string, score double, n_words int"
+SCHEMA = "lang_pred string, score double, n_words int, n_known int"
 
 
 def ngrams(word: str, n: int) -> list[str]:
@@ -60,12 +60,13 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Model:
     """``rows[n][gram]`` is the row of ``logs[n]`` with its log frequency in each language.
 
-    n is 0 for whole words.
+    n is 0 for whole words; ``known`` says of each word which languages have it.
     """
 
     languages: list[str]
     rows: list[dict[str, int]] = field(default_factory=list)
     logs: list[np.ndarray] = field(default_factory=list)
+    known: np.ndarray | None = None
 
     def word(self, word: str) -> np.ndarray:
         if (row := self.rows[0].get(word)) is not None:
@@ -76,26 +77,35 @@ class Model:
         return np.zeros(len(self.languages))
 
 
-def train(documents: DataFrame, trained: Column) -> Model:
-    """Counts words and n-grams of the rows where ``trained`` holds and lang is not null.
+def sample(documents: DataFrame, trained: Column) -> tuple[list[str], DataFrame]:
+    """Languages of the rows where ``trained`` holds and lang is not null, and some of the rows.
 
-    A bounded sample: in each language the documents whose text and id hash below
-    ``PER_LANGUAGE`` / (documents of the language).  Counting runs in tasks, the sums in
-    Spark; what reaches the driver is the model, bounded by the sample.
+    In each language about ``PER_LANGUAGE``: the documents whose id hashes below
+    ``PER_LANGUAGE`` / (documents of the language).
     """
     usable = documents.where(trained & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = usable.groupBy("lang").count().collect()
     languages = sorted(row["lang"] for row in sizes)
-    if not languages:
-        return Model([])
     share = F.lit(0)
     for row in sizes:  # a language each
         share = F.when(
             F.col("lang") == row["lang"], int(min(1.0, PER_LANGUAGE / row["count"]) * 2**20)
         ).otherwise(share)
     picked = usable.where(F.pmod(F.xxhash64(F.lit("lang"), F.col("doc_id")), F.lit(2**20)) < share)
+    return languages, picked.select("lang", "text")
+
+
+def train(documents: DataFrame, trained: Column) -> Model:
+    """Counts words and n-grams of a bounded ``sample``.
+
+    Counting runs in tasks, the sums in Spark; what reaches the driver is the model, bounded
+    by the sample.
+    """
+    languages, picked = sample(documents, trained)
+    if not languages:
+        return Model([])
     counts = (
-        picked.select("lang", "text")
+        picked
         .mapInPandas(_counted, "lang string, n int, gram string, times long")
         .groupBy("lang", "n", "gram")
         .agg(F.sum("times").alias("times"))
@@ -119,6 +129,8 @@ def model_of(languages: list[str], counts: pd.DataFrame) -> Model:
             part["lang"].map(position).to_numpy(dtype=int),
         )
         np.add.at(table, where, part["times"].to_numpy(dtype=float))
+        if n == 0:
+            model.known = table > 0.5
         model.rows.append(rows)
         model.logs.append(np.log(table / table.sum(axis=0, keepdims=True)) if grams else table)
     return model
@@ -134,32 +146,40 @@ class Guesser:
     def _forget(self) -> None:
         self.row: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.model.languages)))
+        self.known = np.zeros(self.scores.shape, bool)
 
     def _learn(self, word: str) -> int:
         at = len(self.row)
         if at >= len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
         self.scores[at] = self.model.word(word.lower())
+        if (row := self.model.rows[0].get(word.lower())) is not None:
+            self.known[at] = self.model.known[row]
         self.row[word] = at
         return at
 
-    def guess(self, text: str | None) -> tuple[str, float, int]:
+    def guess(self, text: str | None) -> tuple[str, float, int, int]:
         words = WORD.findall(text) if text else []
         if not words or not self.model.languages:
-            return UNDETERMINED, 0.0, len(words)
+            return UNDETERMINED, 0.0, len(words), 0
         total = np.zeros(len(self.model.languages))
+        known = np.zeros(len(total), np.int64)
         for begin in range(0, len(words), REMEMBERED // 2):
             if len(self.row) > REMEMBERED // 2:
                 self._forget()
             part, row = words[begin : begin + REMEMBERED // 2], self.row
             rows = [r if (r := row.get(w)) is not None else self._learn(w) for w in part]
             total += self.scores[rows].sum(axis=0)
-        return self._best(total, len(words))
+            known += self.known[rows].sum(axis=0)
+        return self._best(total, len(words), known)
 
-    def _best(self, total: np.ndarray, n: int) -> tuple[str, float, int]:
+    def _best(
+        self, total: np.ndarray, n: int, known: np.ndarray
+    ) -> tuple[str, float, int, int]:
         best = int(np.argmax(total))  # ties: the language first by code point
         chances = np.exp(total - total[best])
-        return self.model.languages[best], float(1 / chances.sum()), n
+        return self.model.languages[best], float(1 / chances.sum()), n, int(known[best])
 
 
 def identifier(model: Model):
@@ -173,9 +193,10 @@ def identifier(model: Model):
             found = [guesser.guess(text) for text in texts]
             yield pd.DataFrame(
                 {
-                    "lang_pred": [lang for lang, _, _ in found],
-                    "score": [score for _, score, _ in found],
-                    "n_words": [n for _, _, n in found],
+                    "lang_pred": [lang for lang, _, _, _ in found],
+                    "score": [score for _, score, _, _ in found],
+                    "n_words": [n for _, _, n, _ in found],
+                    "n_known": [known for _, _, _, known in found],
                 }
             )
 
@@ -185,8 +206,18 @@ def identifier(model: Model):
 def identify(documents: DataFrame, model: Model, into: str = "language") -> DataFrame:
     """All rows and columns of ``documents`` plus ``into``, a struct of ``SCHEMA``.
 
-    ``score`` is the posterior of the predicted language.  A null text, one without a letter,
+    ``score`` is the posterior of the predicted language, which nears 1 with the number of words;
+    ``n_known`` are the words that training has seen in that language.  A null text, one without a letter,
     or a model without languages gives ``und`` and 0.  Ties go to the first language by code
     point.  Repeated rows are each scored; other columns pass through.
     """
     return documents.withColumn(into, identifier(model)(F.col("text")))
+
+
+def least_known(documents: DataFrame, trained: Column, model: Model) -> dict[str, float]:
+    """For each language, the share of known words that a hundredth of its sample stays below."""
+    found = identify(sample(documents, trained)[1], model, "found").where("found.n_words > 0")
+    rows = found.groupBy("lang").agg(
+        F.percentile_approx(F.expr("found.n_known / found.n_words"), 0.01, 10_000).alias("share")
+    )
+    return {row["lang"]: row["share"] for row in rows.collect()}  # a row for each language

@@ -240,6 +240,19 @@ def test_embeddings(spark):
     assert embedding_dedup.near_copies(df.limit(0)).count() == 0
 
 
+def test_pipeline_rejects_languages_never_learned(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    random = np.random.default_rng(4)
+    gibberish = " ".join("".join(random.choice(list("bcdfghjklmnpqrstvwxz"), 6)) for _ in range(500))
+    finnish = "kaikki ihmiset syntyvät vapaina heille on annettu järki heidän toimittava toisiaan " * 20
+    added = [(-1, gibberish, None), (-2, finnish, None), (-3, "все люди рождаются свободными " * 9, None)]
+    both = docs.unionByName(spark.createDataFrame(added, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.drop_unknown_languages(spark, both, folder).collect()}
+    worded = {r.doc_id for r in docs.where("text rlike '[a-z]'").collect()}
+    assert kept.isdisjoint({-1, -2, -3}) and len(worded - kept) <= 0.01 * len(worded)
+
+
 @pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
 def test_stages(spark, documents, nothing, labels, tmp_path_factory, stage):
     folder = str(tmp_path_factory.mktemp("tables"))
