@@ -63,7 +63,7 @@ def op5_mixing(spark: SparkSession, tables: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, tables: str) -> DataFrame:
     """All documents written as files of token ids, and what the files hold of each."""
     documents = table(spark, tables, "documents").select("doc_id", "text")
-    return token_files.round_trip(documents, default_tokenizer())
+    return token_files.round_trip(documents, default_tokenizer(), without_ids=True)
 
 
 def op7_fingerprints(spark: SparkSession, tables: str) -> DataFrame:

@@ -7,6 +7,7 @@ seekable format of the zstandard project.  Any zstandard reader can decompress t
 
 A frame's content, little-endian: number of documents (u32), width of an id in bytes (u32),
 their ids in the corpus (i64 each), their numbers of token ids (u64 each), the token ids.
+Documents without an id have frames of their own, marked by the highest bit of the width.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ END_ID = 1
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 WITH_CHECKSUMS = 0x80
+#: Added to the width of an id in frames of documents without one, whose ids are 0.
+WITHOUT_IDS = 1 << 31
 #: Token ids after which a frame is closed, and documents after which a file is.
 FRAME_IDS = 1 << 17
 LEVEL = 3
@@ -39,17 +42,20 @@ LEVEL = 3
 ROWS_PER_FILE = 10_000
 
 
-def write_file(sink, documents: Iterable[tuple[int, np.ndarray]], width: int) -> list[tuple]:
+def write_file(
+    sink, documents: Iterable[tuple[int | None, np.ndarray]], width: int
+) -> list[tuple]:
     """Writes (doc_id, token ids) pairs; returns (frame, documents, token ids) for each."""
     compress = zstandard.ZstdCompressor(level=LEVEL).compress
     table, written = [], []
 
-    def close(held: list[tuple[int, np.ndarray]]) -> None:
+    def close(held: list[tuple[int | None, np.ndarray]]) -> None:
+        marked = width | WITHOUT_IDS if held[0][0] is None else width
         sizes = np.array([len(ids) for _, ids in held], "<u8")
         content = b"".join(
             [
-                struct.pack("<II", len(held), width),
-                np.array([doc_id for doc_id, _ in held], "<i8").tobytes(),
+                struct.pack("<II", len(held), marked),
+                np.array([doc_id or 0 for doc_id, _ in held], "<i8").tobytes(),
                 sizes.tobytes(),
                 *(ids.astype(f"<u{width}").tobytes() for _, ids in held),
             ]
@@ -61,6 +67,9 @@ def write_file(sink, documents: Iterable[tuple[int, np.ndarray]], width: int) ->
 
     held, n = [], 0
     for document in documents:
+        if held and (held[-1][0] is None) != (document[0] is None):
+            close(held)
+            held, n = [], 0
         held.append(document)
         n += len(document[1])
         if n >= FRAME_IDS:
@@ -87,7 +96,7 @@ def seek_table(source, size: int) -> list[tuple[int, int, int, int]]:
 
 
 def read_frames(source, size: int, frames: Iterable[int]) -> Iterator[tuple]:
-    """(frame, doc_id, token ids) of the documents of the frames asked for, nothing else."""
+    """(frame, doc_id or None, token ids) of the documents of the frames asked for."""
     table = seek_table(source, size)
     for frame in frames:
         offset, packed, length, checksum = table[frame]
@@ -98,8 +107,10 @@ def read_frames(source, size: int, frames: Iterable[int]) -> Iterator[tuple]:
         number, width = struct.unpack_from("<II", content)
         ids = np.frombuffer(content, "<i8", number, 8)
         sizes = np.frombuffer(content, "<u8", number, 8 + 8 * number).astype(np.int64)
+        without, width = width & WITHOUT_IDS, width & ~WITHOUT_IDS
         tokens = np.frombuffer(content, f"<u{width}", offset=8 + 16 * number)
-        for doc_id, end, n in zip(ids.tolist(), np.cumsum(sizes).tolist(), sizes.tolist()):
+        names = [None] * number if without else ids.tolist()
+        for doc_id, end, n in zip(names, np.cumsum(sizes).tolist(), sizes.tolist()):
             yield frame, doc_id, tokens[end - n : end]
 
 
@@ -125,10 +136,11 @@ def _write(folder: str, tokenizer: str, width: int):
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = -1
 
-        def documents() -> Iterator[tuple[int, np.ndarray]]:
+        def documents() -> Iterator[tuple[int | None, np.ndarray]]:
             nonlocal part
             for frame in frames:
-                ids = frame["doc_id"].tolist()
+                named = frame["named"].tolist()
+                ids = [i if has else None for i, has in zip(frame["doc_id"].tolist(), named)]
                 part = int(frame["part"].iloc[0]) if len(frame) else part
                 for begin, texts in in_portions(frame["text"].tolist(), CHARS_AT_A_TIME):
                     for i, tokens in enumerate(encoder(tokenizer).encode_all(texts), begin):
@@ -157,20 +169,21 @@ def write(documents: DataFrame, folder: str, tokenizer: str, width: int = 2) ->
     The manifest has a row per frame: part (files ascend by it), file, frame, documents,
     ids, and ``first``, the number of token ids of all frames before it.  ``folder`` is a
     path or URI on storage that all executors share.  A null text is an empty one, each
-    document ends with id 1.  Rows of equal id are ordered by a hash of their text; rows
-    with a null id have no place in the order and are left out.  An empty table writes
-    nothing.  ``width`` is 2 for vocabularies below 65,536, else 4.
+    document ends with id 1.  Rows of equal id are ordered by a hash of their text, and so
+    are those with a null id, which come last.  An empty table writes nothing.  ``width`` is 2 for vocabularies below 65,536, else 4.
     """
-    rows = documents.where("doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+    rows = documents.select(
+        # Pandas would make floating point numbers of ids among nulls.
+        F.col("doc_id").isNotNull().alias("named"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
         F.col("text").cast("binary").alias("text"),
     )
     parts = max(1, -(-rows.count() // ROWS_PER_FILE))
     ordered = (
-        rows.repartitionByRange(parts, "doc_id", "text_hash")
-        .sortWithinPartitions("doc_id", "text_hash")
-        .select("doc_id", "text", F.spark_partition_id().alias("part"))
+        rows.repartitionByRange(parts, F.desc("named"), "doc_id", "text_hash")
+        .sortWithinPartitions(F.desc("named"), "doc_id", "text_hash")
+        .select("named", "doc_id", "text", F.spark_partition_id().alias("part"))
     )
     manifest = stored(ordered.mapInPandas(_write(folder, tokenizer, width), _MANIFEST), "manifest")
     files = manifest.groupBy("part").agg(F.sum("ids").alias("ids"))
@@ -200,7 +213,8 @@ def _read(folder: str):
                         wide = ids.astype("<u4").tobytes()
                         found.append((doc_id, place, len(ids), zlib.crc32(wide)))
                         place += len(ids)
-                yield pd.DataFrame(found, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
+                columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                yield pd.DataFrame(found, columns=columns, dtype=object).astype("Int64")
 
     return task
 
@@ -220,9 +234,13 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     )
 
 
-def round_trip(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """Writes all documents below the shared scratch folder and reads the files back."""
+def round_trip(documents: DataFrame, tokenizer: str, without_ids: bool = False) -> DataFrame:
+    """Writes all documents below the shared scratch folder and reads the files back.
+
+    Documents with a null id are written too, and returned if ``without_ids`` is set.
+    """
     spark = documents.sparkSession
     folder = scratch_path(spark, "token_files")
     manifest = stored(write(documents, folder, tokenizer), "token_manifest")
-    return read(spark, folder, manifest)
+    found = read(spark, folder, manifest)
+    return found if without_ids else found.where("doc_id IS NOT NULL")

@@ -14,6 +14,7 @@ from salesmart.llm import (
     mixing,
     packing,
     quality,
+    queries,
     token_files,
     toxicity,
 )
@@ -138,6 +139,21 @@ def test_token_files(documents, nothing):
     assert token_files.round_trip(nothing, default_tokenizer()).count() == 0
 
 
+def test_token_files_hold_documents_without_ids(spark, documents, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("tables"))
+    large = spark.createDataFrame([(2**53 + 1, "x")], "doc_id long, text string")
+    rows = documents.select("doc_id", "text").unionByName(large)
+    rows = rows.unionByName(documents.select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    rows.write.parquet(f"{folder}/documents.parquet")
+    out = queries.op6_token_files(spark, folder).collect()
+    assert ids(rows) == sorted((r.doc_id is None, r.doc_id or 0) for r in out)
+    at = 0
+    for r in sorted(out, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id is None for r in sorted(out, key=lambda r: r.start)] == [False] * 14 + [True] * 15
+
+
 def test_fingerprints(documents, nothing):
     out = fingerprints.edited(documents)
     assert ids(out) == ids(documents)
