@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from salesmart.llm import (
     embedding_dedup,
     fingerprints,
+    hard_negatives,
     html_text,
     jaccard_join,
     language_id,
     mixing,
     packing,
     quality,
+    token_alignment,
     token_files,
+    top_search,
     toxicity,
 )
 from salesmart.llm.common import id_remainder, table
@@ -103,6 +106,28 @@ def op10_toxicity(spark: SparkSession, tables: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, tables: str) -> DataFrame:
+    """How the tokens of two tokenizers cover every document's text."""
+    return token_alignment.digests(table(spark, tables, "documents").select("doc_id", "text"))
+
+
+def op12_hard_negatives(spark: SparkSession, tables: str) -> DataFrame:
+    """Hard negatives for the positives of every hundredth vector."""
+    moved = (F.col("label").cast("long") + 1) % 10
+    vectors = table(spark, tables, "embeddings").select(
+        "vec_id",
+        "embedding",
+        F.when(F.col("vec_id") % 7 == 0, moved).otherwise(F.col("label")).alias("label"),
+    )
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op13_top_search(spark: SparkSession, tables: str) -> DataFrame:
+    """The five vectors of highest inner product with every fiftieth vector."""
+    vectors = table(spark, tables, "embeddings")
+    return top_search.search(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         query.__name__: query
@@ -117,6 +142,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_quality,
             op9_html_extraction,
             op10_toxicity,
+            op11_token_alignment,
+            op12_hard_negatives,
+            op13_top_search,
         )
     }
 

@@ -87,8 +87,59 @@ SELECT page_id, url, array_to_string(p, chr(10) || chr(10)) AS text,
 FROM decoded
 """
 
+_WHOLE = """
+WITH whole AS (
+    SELECT vec_id, label, list_transform(e, lambda x: floor(256 * x)) AS e
+    FROM (SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS e
+          FROM embeddings)
+    WHERE vec_id IS NOT NULL AND e IS NOT NULL
+        AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+"""
+
+_NEGATIVES = (
+    _WHOLE
+    + """
+rows AS (
+    SELECT vec_id, e, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+    FROM whole WHERE label IS NOT NULL
+),
+scores AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+        CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+    FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+positives AS (
+    SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (
+        PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+    other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+)
+
+_HIGHEST = (
+    _WHOLE
+    + """
+scores AS (
+    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+    FROM whole a JOIN whole b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (
+    PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scores
+QUALIFY rank <= 5
+"""
+)
+
 ORACLES = {
     "op1_embedding_near_dedup": _LABELLED.strip(),
     "op2_ngram_jaccard_join": _SHINGLED.strip(),
     "op9_html_extraction": _ARTICLES.strip(),
+    "op12_hard_negatives": _NEGATIVES.strip(),
+    "op13_top_search": _HIGHEST.strip(),
 }
