@@ -24,10 +24,26 @@ os.environ["PYTHONPATH"] = os.pathsep.join(
 )
 
 from salesmart import schemas  # noqa: E402
-from salesmart.operators import calendar, customers, facts, marts, products, staging  # noqa: E402
-from salesmart.plans.refresh import refresh  # noqa: E402
+from salesmart.operators import (  # noqa: E402
+    calendar,
+    customers,
+    distinct,
+    facts,
+    marts,
+    products,
+    staging,
+    threshold,
+)
+from salesmart.plans.refresh import Warehouse, build_dimensions, refresh, take_in  # noqa: E402
 from salesmart.plans.scratch import scratch_path, stored  # noqa: E402
-from salesmart.sinks.tables import files_below, read_table, rename, write_periods  # noqa: E402
+from salesmart.sinks.merge import merge_by_key  # noqa: E402
+from salesmart.sinks.tables import (  # noqa: E402
+    delete,
+    files_below,
+    read_table,
+    rename,
+    write_periods,
+)
 from salesmart.sources import retail_tables  # noqa: E402
 from salesmart.sources.files import CSV_WRITE_OPTIONS, read_raw_sales  # noqa: E402
 from salesmart.streaming.landing import ingest_available_now  # noqa: E402
@@ -42,6 +58,8 @@ except ImportError as missing:
 
 AS_OF = date(2001, 8, 2)
 RUN_DATE = date(1998, 6, 15)
+# Later invoices come with a second delivery.
+SECOND = date(1998, 1, 1)
 # The last days of two backfills: all rows go through the first, and the second removes some.
 LATER, EARLIER = AS_OF, date(2001, 3, 15)
 
@@ -153,6 +171,75 @@ def refreshed_earlier_as_of(spark: SparkSession, tables: str) -> DataFrame:
     return read_table(spark, house.fact_sales, schemas.FACT_SALES)
 
 
+def customer_base_merged(spark: SparkSession, tables: str) -> DataFrame:
+    """The history of customers in early invoices, with that of later ones merged in by key."""
+    path = scratch_path(spark, "customer_base")
+    stg = _stored_stg(spark, tables, *_OF_CUSTOMERS)
+    later = F.to_date("invoice_date") >= F.lit(SECOND)
+    for delivery in (stg.where(~later), stg.where(later)):
+        base = customers.customer_base(delivery)
+        merge_by_key(base, path, "customer_id", schemas.CUSTOMER_BASE)
+    return read_table(spark, path, schemas.CUSTOMER_BASE)
+
+
+def _discard(spark: SparkSession, landing: str, year: int) -> None:
+    for file in files_below(spark, landing, ".csv"):
+        if file.startswith(str(year)):
+            delete(spark, f"{landing}/{file}")
+
+
+def customer_base_kept(spark: SparkSession, tables: str) -> DataFrame:
+    """The customers' history kept up from partials of loads.
+
+    After late rows have come, the files of 1997 have lost their cancellations and those of 1996
+    all their rows.
+    """
+    house, landing = Warehouse(scratch_path(spark, "warehouse")), scratch_path(spark, "landing")
+    raw = stored(_raw(spark, tables), "raw_sales")
+    _land(raw.where(~_is_late()), landing)
+    take_in(spark, house, landing)
+    build_dimensions(spark, house, AS_OF)
+    delete(spark, house.pending)
+    _land(raw.where(_is_late()), landing, "late_")
+    take_in(spark, house, landing)
+    for year in (1996, 1997):
+        _discard(spark, landing, year)
+    of_1997 = F.regexp_extract("InvoiceDate", r"/(\d{4}) ", 1) == "1997"
+    _land(raw.where(of_1997 & ~F.col("InvoiceNo").startswith("C")), landing, "corrected_")
+    for year in (1996, 1997):
+        take_in(spark, house, landing, date(year, 12, 31), reload=True)
+    build_dimensions(spark, house, AS_OF, whole=False)
+    return read_table(spark, house.customer_base, schemas.CUSTOMER_BASE)
+
+
+def orders_rolled_up(spark: SparkSession, tables: str) -> DataFrame:
+    """Orders by day, by month and in all, of each country, from one set of daily bitmaps."""
+    stg = _stored_stg(spark, tables, *_OF_CUSTOMERS)
+    fact = _fact(stg)
+    numbers = distinct.number_keys(marts.named_sales(fact), "invoice_no", "invoice_day")
+    daily = stored(
+        distinct.daily_orders(fact, customers.customer_countries(stg), numbers), "daily_orders"
+    )
+    month = F.trunc("sale_date", "month")
+    levels = {"day": F.col("sale_date"), "month": month, "all": F.lit(None).cast("date")}
+    counts = [
+        distinct.counted(
+            distinct.rolled_up(daily, period=period, country=F.col("country")),
+            "period",
+            "country",
+            into="orders",
+        ).select(F.lit(level).alias("level"), "period", "country", "orders")
+        for level, period in levels.items()
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+def top_n_products_by_threshold(spark: SparkSession, tables: str) -> DataFrame:
+    """The top products of all months, from sums of days by the uniform threshold algorithm."""
+    stg = _stored_stg(spark, tables, *_OF_FACT, "description")
+    return threshold.top_n_products_monthly(_fact(stg), products.dim_products(stg))
+
+
 def dim_dates(spark: SparkSession, tables: str) -> DataFrame:
     return calendar.dim_dates(_stg(spark, tables))
 
@@ -266,6 +353,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             fact_sales_partition_rerun,
             refreshed_late_rows,
             refreshed_earlier_as_of,
+            customer_base_merged,
+            customer_base_kept,
+            orders_rolled_up,
+            top_n_products_by_threshold,
             agg_daily_sales,
             agg_daily_sales_history,
             agg_customer_segments_monthly,
@@ -363,6 +454,29 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
           CAST(sum(CAST(quantity AS DECIMAL(17,0)) * unit_price) AS DECIMAL(38,9)) AS total_spent
         FROM stg WHERE customer_id <> 'ANONYMOUS' GROUP BY customer_id""",
     ),
+    "merged": (
+        ("stg",),
+        """
+        SELECT customer_id, CAST(min(invoice_date) AS DATE) AS first_invoice_date,
+          CAST(max(invoice_date) AS DATE) AS last_invoice_date,
+          count(DISTINCT invoice_no) AS total_orders,
+          CAST(sum(CAST(quantity AS DECIMAL(17,0)) * unit_price) AS DECIMAL(38,9)) AS total_spent
+        FROM (SELECT *, max(invoice_date) OVER (PARTITION BY customer_id) >= DATE '1998-01-01'
+              AS comes_again FROM stg WHERE customer_id <> 'ANONYMOUS')
+        WHERE NOT comes_again OR invoice_date >= DATE '1998-01-01'
+        GROUP BY customer_id""",
+    ),
+    "orders": (
+        ("fact", "countries"),
+        """
+        SELECT CASE WHEN grouping(sale_date) = 0 THEN 'day' WHEN grouping(month) = 0 THEN 'month'
+            ELSE 'all' END AS level,
+          coalesce(sale_date, month) AS period, country,
+          count(DISTINCT invoice_no) AS orders
+        FROM (SELECT invoice_day AS sale_date, CAST(date_trunc('month', invoice_day) AS DATE) AS month,
+                country, invoice_no FROM fact JOIN countries USING (customer_id))
+        GROUP BY GROUPING SETS ((sale_date, country), (month, country), (country))""",
+    ),
     "countries": (
         ("stg",),
         "SELECT DISTINCT customer_id, country FROM stg WHERE customer_id <> 'ANONYMOUS'",
@@ -505,6 +619,14 @@ def oracle_sql() -> dict[str, str]:
         "top_n_products_monthly": _sql("top", month),
         "top_n_products_monthly_history": _sql("top"),
     }
+    base = "FROM stg WHERE customer_id <> 'ANONYMOUS'"
+    kept = "year(invoice_date) <> 1996 AND (year(invoice_date) <> 1997 OR invoice_no NOT LIKE 'C%')"
+    own |= {
+        "customer_base_merged": _sql("merged"),
+        "customer_base_kept": _sql("base").replace(base, f"{base} AND {kept}"),
+        "orders_rolled_up": _sql("orders"),
+        "top_n_products_by_threshold": _sql("top"),
+    }
     if llm is None:
         return own
     piped = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

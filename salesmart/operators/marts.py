@@ -27,7 +27,7 @@ def _in_month(day: Column, month: date) -> Column:
     return (day >= F.lit(first)) & (day < F.lit(after))
 
 
-def _named(fact: DataFrame) -> DataFrame:
+def named_sales(fact: DataFrame) -> DataFrame:
     """Sales of named customers.  The customer dimension has no others, so the join
     would drop the rest anyway, after moving all of it to the one task of that key."""
     return fact.where(F.col("customer_id") != ANONYMOUS)
@@ -45,7 +45,7 @@ def agg_daily_sales(
         fact = fact.where(F.col("invoice_day") == F.lit(sale_date))
     amount, quantity = F.col("line_item_total_amount"), F.col("quantity")
     orders = (
-        _named(fact)
+        named_sales(fact)
         .groupBy("invoice_day", "customer_id", "invoice_no")
         .agg(
             total(amount).alias("amount"),
@@ -77,7 +77,7 @@ def agg_customer_segments_monthly(
     if month is not None:
         fact = fact.where(_in_month(F.col("invoice_day"), month))
     spending = (
-        _named(fact)
+        named_sales(fact)
         .groupBy(month_start(F.col("invoice_day")).alias("month_start_date"), "customer_id")
         .agg(
             total(F.col("line_item_total_amount")).alias("amount"),

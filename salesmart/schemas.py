@@ -78,6 +78,18 @@ CUSTOMER_BASE = _table(
     total_spent=MONEY,
 )
 
+#: Partials of a load (``operators.partials``).
+INVOICES_BY_LOAD = _table(
+    customer_id=_TEXT,
+    country=_TEXT,
+    invoice_no=_TEXT,
+    invoice_day=_DATE,
+    amount=MONEY,
+    load_date=_DATE,
+)
+
+PRODUCTS_BY_LOAD = _table(stock_code=_TEXT, description=_TEXT, load_date=_DATE)
+
 DIM_CUSTOMERS = _table(
     customer_id=_TEXT,
     country=_TEXT,

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from salesmart.operators.staging import stg_transactions
 from salesmart.schemas import RAW_SALES, STG_TRANSACTIONS_LOADED
-from salesmart.sinks.tables import delete, exists, files_below, read_table
+from salesmart.sinks.tables import NO_DAY, delete, exists, files_below, read_table
 from salesmart.sources.files import CSV_OPTIONS, SALES_FILES, read_raw_sales
 
 # The day at the start of a file name; the second alternative swallows other names.
@@ -95,13 +95,13 @@ def reload_day(
     before = _of_day(spark, target, day)
     if taken is not None and before is not None:
         taken(before)
-    folder = f"load_date={day.isoformat()}"
-    old = {name for name in files_below(spark, target) if name.startswith(f"{folder}/")}
+    folder = f"{target}/load_date={day.isoformat()}"
+    old = set(files_below(spark, folder))
     raw = _named(read_raw_sales(spark, landing, day))
     _replace(stg_transactions(raw, "load_date", "load_file"), target)
-    kept = set(files_below(spark, target))
+    kept = set(files_below(spark, folder))
     for file in old & kept:  # files of the day that the reload has not replaced
-        delete(spark, f"{target}/{file}")
+        delete(spark, f"{folder}/{file}")
     if taken is not None:
         now = _of_day(spark, target, day)
         if now is not None:
@@ -116,20 +116,28 @@ def _of_day(spark: SparkSession, target: str, day: date) -> DataFrame | None:
 
 
 def _replace(rows: DataFrame, target: str) -> DataFrame | None:
-    """Write ``rows`` over the partitions of their files; return them as they lie there."""
-    spark = rows.sparkSession
-    before = set(files_below(spark, target))
+    """Write ``rows`` over the partitions of their files; return them as they lie there.
+
+    Which files these are is observed on the way to the table, one entry a file, so that the
+    folders of other batches need not be listed.
+    """
+    seen = Observation("loads")
+    loads = F.collect_set(F.struct("load_date", "load_file"))
     (
-        rows.write.mode("overwrite")
+        rows.observe(seen, loads.alias("loads"))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("load_date", "load_file")
         .parquet(target)
     )
-    new = [name for name in files_below(spark, target) if name not in before]
-    if not new:
+    found = seen.get["loads"]
+    if not found:
         return None
-    return (
+    spark = rows.sparkSession
+    days = sorted({NO_DAY if day is None else day.isoformat() for day, _ in found})
+    written = (
         spark.read.schema(STG_TRANSACTIONS_LOADED)
         .option("basePath", target)
-        .parquet(*sorted({f"{target}/{name.rsplit('/', 1)[0]}" for name in new}))
+        .parquet(*[f"{target}/load_date={day}" for day in days])
     )
+    return written.where(F.col("load_file").isin([file for _, file in found]))
