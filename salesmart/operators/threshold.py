@@ -17,6 +17,8 @@ Values must not be negative, which sales are not.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,11 +59,13 @@ def seen_rows(lists: DataFrame, k: int) -> DataFrame:
     counts = lists.select(_GROUP, _LIST).distinct().groupBy(_GROUP).agg(
         F.count(F.lit(1)).alias("lists")
     )
-    # Rounded down, so that less than the threshold in every list is less than the k-th sum.
-    nano = F.lit(1).cast("decimal(10,9)") / 1_000_000_000
-    share = (F.col("kth") / F.col("lists")).cast(MONEY) - nano.cast(MONEY)
+    # Rounded down, so that less than the threshold in every list is less than the k-th sum.  (With
+    # a digit less before the point, the difference keeps all nine after it.)
+    share = (F.col("kth") / F.col("lists")).cast("decimal(37,9)") - F.lit(Decimal("1e-9"))
     thresholds = counts.join(_kth(sums, k, "kth"), _GROUP, "left").select(
-        _GROUP, "lists", F.greatest(F.coalesce(share, F.lit(0)), F.lit(0)).cast(MONEY).alias("threshold")
+        _GROUP,
+        "lists",
+        F.greatest(F.coalesce(share, F.lit(0)), F.lit(0)).cast(MONEY).alias("threshold"),
     )
     thresholds = stored(thresholds, "thresholds")  # a row for each group
     return lists.join(thresholds, _GROUP).where(F.col(_VALUE) >= F.col("threshold"))
