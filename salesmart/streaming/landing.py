@@ -4,46 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from salesmart.operators.staging import stg_transactions
 from salesmart.schemas import RAW_SALES, STG_TRANSACTIONS_LOADED
 from salesmart.sinks.tables import NO_DAY, delete, exists, files_below, read_table
-from salesmart.sources.files import CSV_OPTIONS, SALES_FILES, read_raw_sales
+from salesmart.sources.files import CSV_OPTIONS, SALES_FILE, SALES_FILES
+from salesmart.sources.quoted import ends_open, plain_path, read_quoted
 
 # The day at the start of a file name; the second alternative swallows other names.
 _FILE_DAY = r"^(\d{4})(\d{2})(\d{2})_.*$|^.*$"
 
 
-def _named(raw: DataFrame) -> DataFrame:
+def _named(raw: DataFrame, file: Column) -> DataFrame:
     """Adds ``load_file`` and ``load_date``, the day in the file name (NULL if it has none)."""
-    day = F.regexp_replace("_metadata.file_name", _FILE_DAY, "$1-$2-$3")
-    return raw.withColumns(
-        {"load_date": day.try_cast("date"), "load_file": F.col("_metadata.file_name")}
-    )
+    day = F.regexp_replace(file, _FILE_DAY, "$1-$2-$3")
+    return raw.withColumns({"load_date": day.try_cast("date"), "load_file": file})
 
 
-def landed_sales(
+def landed_files(
     spark: SparkSession, landing: str, archive: str | None = None, files: str = SALES_FILES
 ) -> DataFrame:
-    """Stream of raw sales from the files that arrive in ``landing``.
+    """Stream of the lines of the files that arrive in ``landing``: file, and whether it ends open.
 
     With ``archive``, a file is moved there by the run after the one that read it; the
     folder must not lie under ``landing``.
     """
     reader = (
-        spark.readStream.schema(RAW_SALES)
-        .options(**CSV_OPTIONS)
-        .option("pathGlobFilter", files)
+        spark.readStream.option("pathGlobFilter", files)
+        .option("lineSep", "\n")
         # A file may arrive long after the newest one; the default skips week-old files.
         # The price is a name kept for every file taken: a few a day.
         .option("maxFileAge", "36500d")
     )
     if archive is not None:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return _named(reader.csv(landing))
+    return reader.text(landing).select(
+        F.col("_metadata.file_name").alias("file"), ends_open(F.col("value")).alias("open")
+    )
+
+
+def read_landed(spark: SparkSession, landing: str, lines: DataFrame) -> DataFrame | None:
+    """Raw sales of the files that ``lines`` (``landed_files``) are of; None without files.
+
+    Files with line breaks inside quotes are put together from their lines, all others are read
+    as they are.
+    """
+    found = lines.groupBy("file").agg(F.max("open").alias("open")).collect()  # a row a file
+    parts = []
+    if plain := sorted(f"{landing}/{file}" for file, breaks in found if not breaks):
+        reader = spark.read.schema(RAW_SALES).options(**CSV_OPTIONS)
+        rows = reader.csv([plain_path(path) for path in plain])
+        parts.append(_named(rows, F.col("_metadata.file_name")))
+    if broken := sorted(f"{landing}/{file}" for file, breaks in found if breaks):
+        rows = read_quoted(spark, broken, RAW_SALES.toDDL(), CSV_OPTIONS)
+        parts.append(_named(rows, F.col("file")).drop("file"))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def ingest_available_now(
@@ -62,17 +81,18 @@ def ingest_available_now(
     doubles.  ``taken`` is called with the rows of every batch as they lie in the table, before
     the batch counts as done.
     """
-    clean = stg_transactions(
-        landed_sales(spark, landing, archive, files), "load_date", "load_file"
-    )
 
     def take(batch: DataFrame, _: int) -> None:
-        rows = _replace(batch, target)
+        raw = read_landed(spark, landing.rstrip("/"), batch)
+        if raw is None:
+            return
+        rows = _replace(stg_transactions(raw, "load_date", "load_file"), target)
         if taken is not None and rows is not None:
             taken(rows)
 
     query = (
-        clean.writeStream.foreachBatch(take)
+        landed_files(spark, landing, archive, files)
+        .writeStream.foreachBatch(take)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -97,8 +117,15 @@ def reload_day(
         taken(before)
     folder = f"{target}/load_date={day.isoformat()}"
     old = set(files_below(spark, folder))
-    raw = _named(read_raw_sales(spark, landing, day))
-    _replace(stg_transactions(raw, "load_date", "load_file"), target)
+    lines = (
+        spark.read.option("pathGlobFilter", SALES_FILE.format(day=day))
+        .option("lineSep", "\n")
+        .text(landing)
+        .select(F.col("_metadata.file_name").alias("file"), ends_open(F.col("value")).alias("open"))
+    )
+    raw = read_landed(spark, landing.rstrip("/"), lines)
+    if raw is not None:
+        _replace(stg_transactions(raw, "load_date", "load_file"), target)
     kept = set(files_below(spark, folder))
     for file in old & kept:  # files of the day that the reload has not replaced
         delete(spark, f"{folder}/{file}")
