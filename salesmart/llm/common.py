@@ -14,7 +14,7 @@ from salesmart.plans.scratch import scratch_path
 #: Rows that a window over one bucket of a running total holds.
 ROWS_PER_BUCKET = 20_000
 #: Characters of text that a task turns into Python objects at a time.
-CHARS_AT_A_TIME = 4_000_000
+CHARS_AT_A_TIME = 2_000_000
 
 
 _tools: dict = {}

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from salesmart.llm.common import kept_tool
 
 #: Bytes that end a word without being letters, digits or part of a special token's name.
 _ENDINGS = b".,!?;:%&$#*"
 #: A full stop or comma that ends a plain word: a piece of its own.
-_LAST = re.compile(rb"[.,](?<=[A-Za-z0-9][.,])(?=[ \n])")
-#: Distinct words that a worker remembers; half of them are the ones met last.
-REMEMBERED = 280_000
+_LAST = r"([A-Za-z0-9])([.,])([ \n])"
+#: Bytes of words and their ids that a worker remembers, about.
+REMEMBERED = 48_000_000
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
 
@@ -42,26 +43,32 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 
 
-class _Generation:
+class _Words:
     """Words with their ids, laid end to end."""
 
+    #: Bytes that an entry takes beside its word and ids.
+    ENTRY = 150
+
     def __init__(self) -> None:
         self.row: dict[bytes, int] = {}
         self.ids = array("I")
-        self.begins = array("q")
-        self.lengths = array("q")
+        self.ends = array("q", [0])  # of the ids of each row, after a 0
+        self.letters = 0
+
+    def size(self) -> int:
+        return self.ENTRY * len(self.row) + self.letters + 4 * len(self.ids)
 
-    def add(self, word: bytes, ids) -> None:
-        self.row[word] = len(self.begins)
-        self.begins.append(len(self.ids))
-        self.lengths.append(len(ids))
+    def add(self, word: bytes, ids) -> int:
+        row = self.row[word] = len(self.row)
         self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        self.letters += len(word)
+        return row
 
     def get(self, word: bytes):
         if (row := self.row.get(word)) is None:
             return None
-        begin = self.begins[row]
-        return self.ids[begin : begin + self.lengths[row]]
+        return self.ids[self.ends[row] : self.ends[row + 1]]
 
 
 class Encoder:
@@ -70,8 +77,9 @@ class Encoder:
     For byte-level tokenizers that drop white space and lower the case, like the one the
     queries use: they cut a text into letters, single digits and runs of other signs, each
     encoded by itself.  So the ids of a text are those of its words in a row, those of a
-    word that ends in common signs are its stem's and its ending's.  Words are cut at ASCII
-    white space and remembered.  A new stem of plain Latin letters is one piece and goes
+    word that ends in common signs are its stem's and its ending's.  Arrow cuts texts at ASCII
+    white space and numbers the distinct words, so that Python sees each of them once a
+    portion; they are remembered until they take too many bytes.  A new stem of plain Latin letters is one piece and goes
     straight to the tokenizer's model; anything else, and words with ``<|``, which may hold
     a special token, go through the whole tokenizer.
     """
@@ -80,7 +88,7 @@ class Encoder:
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
         self.endings: dict[bytes, list[int]] = {}
-        self.new, self.old = _Generation(), _Generation()
+        self.words = _Words()
 
     def _whole(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -100,7 +108,7 @@ class Encoder:
         low = word.lower()
         stem = low.rstrip(_ENDINGS)
         if stem == low:
-            return (self.old.get(word) or self._stem(low)) if stem == word else self._known(low)
+            return self._stem(low) if stem == word else self._known(low)
         if not stem or not stem.decode()[-1].lower()[-1].isalnum():
             return self._whole(word.decode())  # signs before the ending belong to it
         ending = low[len(stem) :]
@@ -112,37 +120,46 @@ class Encoder:
 
     def _known(self, stem: bytes):
         """Ids of a lower-case stem, remembered as a word."""
-        ids = self.new.get(stem)
+        ids = self.words.get(stem)
         if ids is None:
-            ids = self.old.get(stem) or self._stem(stem)
-            self.new.add(stem, ids)
+            ids = self._stem(stem)
+            self.words.add(stem, ids)
         return ids
 
+    def _row(self, word: bytes) -> int:
+        ids = self._encode(word)
+        row = self.words.row.get(word)  # a stem of its own by now
+        return self.words.add(word, ids) if row is None else row
+
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each UTF-8 text, as arrays of unsigned 32-bit integers."""
-        split = [_LAST.sub(rb" \g<0>", text).split() for text in texts]
-        if len(self.new.row) > REMEMBERED // 2:
-            self.new, self.old = _Generation(), self.new
-        new, old = self.new, self.old
-        row = new.row
-        for word in {word for words in split for word in words if word not in row}:
-            if word not in row:  # a stem of another word by now
-                ids = old.get(word)
-                ids = self._encode(word) if ids is None else ids
-                if word not in row:
-                    new.add(word, ids)
-        begins = np.array(new.begins, np.int64)
-        lengths = np.array(new.lengths, np.int64)
-        flat = np.array(new.ids, np.uint32)
-        out = []
-        for words in split:
-            rows = np.fromiter(map(row.__getitem__, words), np.int64, len(words))
-            size = lengths[rows]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(words) else 0
-            places = np.arange(total) + np.repeat(begins[rows] - ends + size, size)
-            out.append(flat[places])
-        return out
+        if not texts:
+            return []
+        if self.words.size() > REMEMBERED:
+            self.words = _Words()
+        cut = pc.replace_substring_regex(
+            pa.array(texts, pa.large_binary()).cast(pa.large_string()), _LAST, r"\1 \2\3"
+        )
+        split = pc.ascii_split_whitespace(cut)
+        numbered = split.flatten().dictionary_encode()
+        known = self.words.row
+        rows = np.array(
+            [
+                self._row(word) if (row := known.get(word)) is None else row
+                for word in numbered.dictionary.cast(pa.large_binary()).to_pylist()
+            ],
+            np.int64,
+        )
+        words = rows[numbered.indices.to_numpy()]
+        bounds = np.array(self.words.ends, np.int64)
+        size = (bounds[1:] - bounds[:-1])[words]
+        ends = np.cumsum(size)
+        places = np.arange(int(size.sum()))
+        places += np.repeat(bounds[words] - ends + size, size)
+        ids = np.array(self.words.ids, np.uint32)[places]
+        last = np.cumsum(pc.list_value_length(split).to_numpy())
+        cuts = np.append(0, ends)[last]
+        return np.split(ids, cuts[:-1])
 
 
 def encoder(path: str) -> Encoder:
