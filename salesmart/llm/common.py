@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from salesmart.plans.scratch import scratch_path
 
 #: Rows that a window over one bucket of a running total holds.
 ROWS_PER_BUCKET = 20_000
+#: Rows that go to Python at a time.
+ROWS_AT_A_TIME = 2_000
 #: Characters of text that a task turns into Python objects at a time.
 CHARS_AT_A_TIME = 2_000_000
 
@@ -27,24 +31,35 @@ def kept_tool(key: tuple, make: Callable):
     that memory holds one of them.
     """
     if key not in _tools:
-        _tools.clear()
+        drop_tools()
         _tools[key] = make()
     return _tools[key]
 
 
 def drop_tools() -> None:
-    """For tasks that keep nothing themselves."""
+    """For tasks that keep nothing themselves; what others have kept goes back to the system."""
     _tools.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back.
 
-    Cuts the lineage, so a lost executor costs its running tasks only.
+    Cuts the lineage, so a lost executor costs its running tasks only.  Texts go to Python in
+    batches of ``ROWS_AT_A_TIME``, as the JVM and the worker hold a batch each.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(ROWS_AT_A_TIME))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, tables: str, name: str) -> DataFrame:

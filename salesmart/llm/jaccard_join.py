@@ -27,7 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesmart.llm.common import batched, components, find_roots, kept_tool, per_run, stored
+from salesmart.llm.common import (
+    CHARS_AT_A_TIME,
+    batched,
+    components,
+    find_roots,
+    kept_tool,
+    per_run,
+    stored,
+)
 from salesmart.llm.tokens import in_portions
 
 WORDS = 5
@@ -160,7 +168,7 @@ def _describe(words: int):
         made = shingler(words)
         for frame in frames:
             ids = frame["doc_id"].tolist()
-            for begin, texts in in_portions(frame["text"].tolist(), 4_000_000):
+            for begin, texts in in_portions(frame["text"].tolist(), CHARS_AT_A_TIME):
                 out = []
                 for i, found in enumerate(made.sets(texts), begin):
                     row = (ids[i], class_of(found), len(found))
