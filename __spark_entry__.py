@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import sys
+import warnings
 from collections.abc import Callable
 from datetime import date
 from pathlib import Path
@@ -45,15 +46,15 @@ from salesmart.sinks.tables import (  # noqa: E402
     write_periods,
 )
 from salesmart.sources import retail_tables  # noqa: E402
-from salesmart.sources.files import CSV_WRITE_OPTIONS, read_raw_sales  # noqa: E402
+from salesmart.sources.files import CSV_OPTIONS, CSV_WRITE_OPTIONS, read_raw_sales  # noqa: E402
+from salesmart.sources.quoted import read_quoted  # noqa: E402
 from salesmart.streaming.landing import ingest_available_now  # noqa: E402
 
 try:  # the operators for training data and their pipeline may be left out
     import corpus_pipeline  # noqa: E402
     from salesmart.llm import queries as llm  # noqa: E402
-except ImportError as missing:
-    if (missing.name or "") not in ("corpus_pipeline", "salesmart.llm"):
-        raise
+except ImportError as missing:  # also of a package that only they need
+    warnings.warn(f"without the queries for training data: {missing}", stacklevel=1)
     corpus_pipeline = llm = None
 
 AS_OF = date(2001, 8, 2)
@@ -110,6 +111,17 @@ def raw_sales_csv(spark: SparkSession, tables: str) -> DataFrame:
     return read_raw_sales(spark, path)
 
 
+def raw_sales_with_breaks(spark: SparkSession, tables: str) -> DataFrame:
+    """All raw sales, some descriptions on two lines, written as CSV and read back in parts."""
+    path = scratch_path(spark, "raw_sales_csv")
+    raw = _raw(spark, tables)
+    longer = F.concat("Description", F.lit('\nsecond "line", of two'))
+    broken = F.when(F.length("StockCode") % 2 == 0, longer).otherwise(F.col("Description"))
+    raw.withColumn("Description", broken).write.options(**CSV_WRITE_OPTIONS).csv(path)
+    files = [f"{path}/{file}" for file in files_below(spark, path, ".csv")]
+    return read_quoted(spark, files, schemas.RAW_SALES.toDDL(), CSV_OPTIONS).drop("file")
+
+
 def stg_transactions(spark: SparkSession, tables: str) -> DataFrame:
     return _stg(spark, tables)
 
@@ -339,6 +351,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         query.__name__: query
         for query in (
             raw_sales_csv,
+            raw_sales_with_breaks,
             stg_transactions,
             ingest_landed,
             dim_dates,
@@ -595,6 +608,12 @@ def oracle_sql() -> dict[str, str]:
     month = "WHERE month_start_date = DATE '1998-06-01'"
     own = {
         "raw_sales_csv": _sql("raw"),
+        "raw_sales_with_breaks": _sql("raw").replace(
+            "SELECT * FROM raw",
+            """SELECT * REPLACE (CASE WHEN length("StockCode") % 2 = 0
+                THEN "Description" || chr(10) || 'second "line", of two'
+                ELSE "Description" END AS "Description") FROM raw""",
+        ),
         "stg_transactions": _sql("stg"),
         "ingest_landed": _sql("stg").replace(
             "SELECT * FROM stg",
