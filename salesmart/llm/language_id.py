@@ -24,6 +24,8 @@ WORD = re.compile(r"[^\W\d_]+")
 LONGEST_NGRAM = 4
 #: Training documents taken for each language, by lowest hash (about so many).
 PER_LANGUAGE = 1_200
+#: Values of the hash that decides, so many that a share of any table is more than none.
+HASHES = 2**62
 #: A word or n-gram is kept if training has it so often.
 LEAST_COUNT = 3
 #: Words whose scores a task remembers.
@@ -89,9 +91,9 @@ def sample(documents: DataFrame, trained: Column) -> tuple[list[str], DataFrame]
     share = F.lit(0)
     for row in sizes:  # a language each
         share = F.when(
-            F.col("lang") == row["lang"], int(min(1.0, PER_LANGUAGE / row["count"]) * 2**20)
+            F.col("lang") == row["lang"], int(min(1.0, PER_LANGUAGE / row["count"]) * HASHES)
         ).otherwise(share)
-    picked = usable.where(F.pmod(F.xxhash64(F.lit("lang"), F.col("doc_id")), F.lit(2**20)) < share)
+    picked = usable.where(F.pmod(F.xxhash64(F.lit("lang"), F.col("doc_id")), F.lit(HASHES)) < share)
     return languages, picked.select("lang", "text")
 
 
@@ -161,7 +163,9 @@ class Guesser:
 
     def guess(self, text: str | None) -> tuple[str, float, int, int]:
         words = WORD.findall(text) if text else []
-        if not words or not self.model.languages:
+        # Words may be numerals like ½ or Ⅷ, which are no letters.
+        lettered = any(letter.isalpha() for word in words for letter in word)
+        if not lettered or not self.model.languages:
             return UNDETERMINED, 0.0, len(words), 0
         total = np.zeros(len(self.model.languages))
         known = np.zeros(len(total), np.int64)

@@ -8,11 +8,13 @@ import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from salesmart.llm import (
     embedding_dedup,
     html_text,
     jaccard_join,
+    language_id,
     mixing,
     packing,
     token_files,
@@ -236,3 +238,26 @@ def test_running_starts(spark, monkeypatch):
         for r in sorted((r for r in out.collect() if r.g == group), key=lambda r: (r.begin, r.begin + r.n)):
             assert r.begin == at
             at = r.begin + r.n
+
+
+def test_numerals_are_no_letters(spark):
+    documents = spark.createDataFrame(
+        [(i, text, lang) for i in range(40) for text, lang in (("one two", "en"), ("deux mots", "fr"))],
+        "doc_id long, text string, lang string",
+    )
+    model = language_id.train(documents, F.lit(True))
+    guesser = language_id.Guesser(model)
+    for text in ("½ ② ²", "Ⅷ", "123 456", "", None, "!?"):
+        assert guesser.guess(text)[:2] == ("und", 0.0), text
+    assert guesser.guess("½ one")[0] == "en"
+    assert guesser.guess("deux Ⅷ")[0] == "fr"
+
+
+def test_a_language_of_any_size_is_sampled(spark, monkeypatch):
+    """A share of a thousandth of a millionth still is one."""
+    documents = spark.range(2_000).selectExpr("id AS doc_id", "'text' AS text", "'en' AS lang")
+    _, picked = language_id.sample(documents, F.lit(True))
+    assert 1_000 < picked.count() < 1_400
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 1e-6)
+    plan = language_id.sample(documents, F.lit(True))[1]._jdf.queryExecution().toString()
+    assert str(int(1e-6 / 2_000 * 2**62)) in plan
