@@ -261,3 +261,37 @@ def test_a_language_of_any_size_is_sampled(spark, monkeypatch):
     monkeypatch.setattr(language_id, "PER_LANGUAGE", 1e-6)
     plan = language_id.sample(documents, F.lit(True))[1]._jdf.queryExecution().toString()
     assert str(int(1e-6 / 2_000 * 2**62)) in plan
+
+
+@pytest.mark.parametrize(
+    "page, article",
+    [
+        (
+            "<main><h1>T</h1><p>Long story one.</p><p>Two.</p>"
+            '<section><article class="teaser"><p>Other page</p></article></section></main>',
+            ["T", "Long story one.", "Two."],
+        ),
+        (
+            "<article><p>The story.</p></article>"
+            '<div id="comments"><ol class="comment-list"><li class="comment">'
+            '<article class="comment-body"><p>I agree with all of it.</p></article></li></ol></div>',
+            ["The story."],
+        ),
+        (
+            "<article><p>The story.</p></article>"
+            '<aside class="related"><article class="card"><p>Another one</p></article></aside>',
+            ["The story."],
+        ),
+        (
+            "<nav><article><p>Menu card</p></article></nav><article><p>The story.</p></article>",
+            ["The story."],
+        ),
+        ("<nav>menu <article><p>The story.</p></article>", ["The story."]),
+        (
+            "<main><p>Short.</p><article><p>The whole long story.</p></article></main>",
+            ["The whole long story."],
+        ),
+    ],
+)
+def test_teasers_and_comments_are_no_articles(page, article):
+    assert html_text.blocks(page)[0] == article
