@@ -16,6 +16,7 @@ from salesmart.plans.sizing import fitted_shuffles
 from salesmart.sinks.merge import merge_by_key
 from salesmart.sinks.tables import delete, exists, read_table, write_periods, write_replace
 from salesmart.streaming.landing import ingest_available_now, reload_day
+from salesmart.streaming.ledger import ingest_changed
 
 _FACT_CLUSTER = ("customer_id", "stock_code")
 
@@ -37,6 +38,11 @@ class Warehouse:
     def checkpoint(self) -> str:
         return self.path("staging", "_checkpoint")
 
+    @property
+    def ledger(self) -> str:
+        """Landed files by content; only runs that take files by content keep it."""
+        return self.path("staging", "_ledger")
+
     @property
     def pending(self) -> str:
         """What tables still have to be brought up to date for; empty between runs."""
@@ -91,6 +97,7 @@ def refresh(
     as_of: date | None = None,
     archive: str | None = None,
     reload: bool = False,
+    by_content: bool = False,
 ) -> Warehouse:
     """Take in what has landed and bring every table up to date.
 
@@ -100,8 +107,9 @@ def refresh(
     them and of all sales whose customer or product has changed in the dimensions.  So, run
     after run with one ``as_of``, the tables equal a backfill, however late rows and files
     come, but of staging only the loads that hold rows of these days are read.  ``reload``
-    takes the file of ``run_date`` again.  Without ``run_date`` every table is replaced as a
-    whole: the backfill, also for an earlier ``as_of``.
+    takes the file of ``run_date`` again; with ``by_content`` every file is taken whose content
+    is not the one taken before.  Without ``run_date`` every table is replaced as a whole: the
+    backfill, also for an earlier ``as_of``.
 
     Any run may be repeated.  What a run has still to do is written down before the tables
     it follows from are touched, so the next run makes up for one that died.
@@ -110,7 +118,7 @@ def refresh(
     if as_of is None:
         as_of = spark.sql("SELECT current_date()").first()[0]
 
-    take_in(spark, house, landing, run_date, archive, reload)
+    take_in(spark, house, landing, run_date, archive, reload, by_content)
     with fitted_shuffles(spark, house.stg_transactions):
         build_dimensions(spark, house, as_of, whole=run_date is None)
         if run_date is None:
@@ -134,16 +142,24 @@ def take_in(
     run_date: date | None = None,
     archive: str | None = None,
     reload: bool = False,
+    by_content: bool = False,
 ) -> None:
-    """Bring what has landed into staging, and note what follows from it."""
+    """Bring what has landed into staging, and note what follows from it.
+
+    ``by_content`` asks the ledger which files are new or corrected, instead of the stream's
+    checkpoint; it moves no file to ``archive``.
+    """
 
     def taken(rows: DataFrame) -> None:
         _note(house, "days", rows.select(F.to_date("invoice_date").alias("day")).distinct())
         _note(house, "loads", rows.select("load_date").distinct())
 
-    ingest_available_now(
-        spark, landing, house.stg_transactions, house.checkpoint, archive, taken=taken
-    )
+    if by_content:
+        ingest_changed(spark, landing, house.stg_transactions, house.ledger, taken=taken)
+    else:
+        ingest_available_now(
+            spark, landing, house.stg_transactions, house.checkpoint, archive, taken=taken
+        )
     if reload and run_date is not None:
         reload_day(spark, landing, house.stg_transactions, run_date, taken)
 

@@ -54,6 +54,9 @@ STG_TRANSACTIONS_LOADED = T.StructType(
     ]
 )
 
+#: The landed files taken, by content (``streaming.ledger``).
+LEDGER = _table(file=_TEXT, length=_LONG, modified=T.TimestampType(), digest=_TEXT)
+
 DIM_DATES = _table(
     date_id=_LONG,
     full_date=_DATE,

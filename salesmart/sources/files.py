@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from salesmart.schemas import CATEGORY_NAMES, RAW_SALES
 
@@ -36,6 +37,11 @@ CSV_WRITE_OPTIONS = {
 }
 
 
+def file_name() -> Column:
+    """The name of the file that a row was read from.  Spark has it as it stands in a URL."""
+    return F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+
+
 def read_raw_sales(spark: SparkSession, path: str, day: date | None = None) -> DataFrame:
     """Raw sales of one day's file, or of every file in the folder."""
     reader = spark.read.schema(RAW_SALES).options(**CSV_OPTIONS)

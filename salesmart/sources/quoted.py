@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from salesmart.sources.files import file_name
+
 # Whole fields, then one that is opened and not closed.
 _OPEN = r'^(?:(?:"(?:[^"]++|"")*+"[^,]*+|[^",][^,]*+|),)*+"(?:[^"]++|"")*+\z'
 
@@ -38,7 +40,7 @@ def lines_of(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     lines = spark.read.option("lineSep", "\n").text([plain_path(path) for path in paths])
     return lines.select(
         "value",
-        F.col("_metadata.file_name").alias("file"),
+        file_name().alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),
     )

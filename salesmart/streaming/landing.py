@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 from salesmart.operators.staging import stg_transactions
 from salesmart.schemas import RAW_SALES, STG_TRANSACTIONS_LOADED
 from salesmart.sinks.tables import NO_DAY, delete, exists, files_below, read_table
-from salesmart.sources.files import CSV_OPTIONS, SALES_FILE, SALES_FILES
+from salesmart.sources.files import CSV_OPTIONS, SALES_FILE, SALES_FILES, file_name
 from salesmart.sources.quoted import ends_open, plain_path, read_quoted
 
 # The day at the start of a file name; the second alternative swallows other names.
 _FILE_DAY = r"^(\d{4})(\d{2})(\d{2})_.*$|^.*$"
 
 
+def file_day(file: Column) -> Column:
+    """The day in a file's name, NULL if it has none."""
+    return F.regexp_replace(file, _FILE_DAY, "$1-$2-$3").try_cast("date")
+
+
 def _named(raw: DataFrame, file: Column) -> DataFrame:
-    """Adds ``load_file`` and ``load_date``, the day in the file name (NULL if it has none)."""
-    day = F.regexp_replace(file, _FILE_DAY, "$1-$2-$3")
-    return raw.withColumns({"load_date": day.try_cast("date"), "load_file": file})
+    """Adds ``load_file`` and ``load_date``, the day in its name."""
+    return raw.withColumns({"load_date": file_day(file), "load_file": file})
 
 
 def landed_files(
@@ -43,7 +47,7 @@ def landed_files(
     if archive is not None:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return reader.text(landing).select(
-        F.col("_metadata.file_name").alias("file"), ends_open(F.col("value")).alias("open")
+        file_name().alias("file"), ends_open(F.col("value")).alias("open")
     )
 
 
@@ -58,7 +62,7 @@ def read_landed(spark: SparkSession, landing: str, lines: DataFrame) -> DataFram
     if plain := sorted(f"{landing}/{file}" for file, breaks in found if not breaks):
         reader = spark.read.schema(RAW_SALES).options(**CSV_OPTIONS)
         rows = reader.csv([plain_path(path) for path in plain])
-        parts.append(_named(rows, F.col("_metadata.file_name")))
+        parts.append(_named(rows, file_name()))
     if broken := sorted(f"{landing}/{file}" for file, breaks in found if breaks):
         rows = read_quoted(spark, broken, RAW_SALES.toDDL(), CSV_OPTIONS)
         parts.append(_named(rows, F.col("file")).drop("file"))
@@ -86,7 +90,7 @@ def ingest_available_now(
         raw = read_landed(spark, landing.rstrip("/"), batch)
         if raw is None:
             return
-        rows = _replace(stg_transactions(raw, "load_date", "load_file"), target)
+        rows = replace_loads(stg_transactions(raw, "load_date", "load_file"), target)
         if taken is not None and rows is not None:
             taken(rows)
 
@@ -121,11 +125,11 @@ def reload_day(
         spark.read.option("pathGlobFilter", SALES_FILE.format(day=day))
         .option("lineSep", "\n")
         .text(landing)
-        .select(F.col("_metadata.file_name").alias("file"), ends_open(F.col("value")).alias("open"))
+        .select(file_name().alias("file"), ends_open(F.col("value")).alias("open"))
     )
     raw = read_landed(spark, landing.rstrip("/"), lines)
     if raw is not None:
-        _replace(stg_transactions(raw, "load_date", "load_file"), target)
+        replace_loads(stg_transactions(raw, "load_date", "load_file"), target)
     kept = set(files_below(spark, folder))
     for file in old & kept:  # files of the day that the reload has not replaced
         delete(spark, f"{folder}/{file}")
@@ -142,7 +146,7 @@ def _of_day(spark: SparkSession, target: str, day: date) -> DataFrame | None:
     return staging.where(F.col("load_date") == F.lit(day))
 
 
-def _replace(rows: DataFrame, target: str) -> DataFrame | None:
+def replace_loads(rows: DataFrame, target: str) -> DataFrame | None:
     """Write ``rows`` over the partitions of their files; return them as they lie there.
 
     Which files these are is observed on the way to the table, one entry a file, so that the

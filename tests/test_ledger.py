@@ -1,0 +1,138 @@
+"""Landed files taken by content."""
+
+import os
+from collections import Counter
+from datetime import date
+
+import pytest
+from test_files import AS_OF, DAYS, HEADER, contents, land, rows
+
+from salesmart import schemas
+from salesmart.plans import refresh as daily
+from salesmart.sinks.tables import read_table
+from salesmart.streaming import ledger as by_content
+from salesmart.streaming.ledger import digests, ingest_changed, read_ledger
+
+
+@pytest.fixture
+def folders(tmp_path):
+    for day in DAYS:
+        land(tmp_path / "landing", day)
+    return tmp_path / "landing", str(tmp_path / "staging"), str(tmp_path / "ledger")
+
+
+def later(path, text):
+    """Write a file as of a time that no other has."""
+    before = path.stat().st_mtime if path.exists() else 0
+    path.write_text(text)
+    os.utime(path, (before + 5, before + 5))
+
+
+def invoices(spark, target):
+    table = read_table(spark, target, schemas.STG_TRANSACTIONS_LOADED)
+    return Counter((row.load_file[:8], row.invoice_no) for row in table.collect())
+
+
+def test_only_new_content_is_taken(spark, folders):
+    landing, target, ledger = folders
+    names = [f"{day}_sales.csv" for day in DAYS]
+    assert ingest_changed(spark, f"{landing}/", target, ledger) == names
+    assert ingest_changed(spark, str(landing), target, ledger) == []
+    first, second, third = (landing / name for name in names)
+    later(first, first.read_text())  # copied again
+    later(second, HEADER + "3,A,mug,9,12/2/2010 8:26,2.55,8,Spain\n")  # corrected
+    later(third, HEADER + "\n".join(reversed(DAYS["20101203"])) + "\n")  # in another order
+    assert ingest_changed(spark, str(landing), target, ledger) == names[1:2]
+    assert invoices(spark, target) == Counter(
+        [(f"2010120{day}", invoice) for day, invoice in ((1, "1"), (1, "2"), (2, "3"), (3, "5"), (3, "6"))]
+    )
+    assert read_ledger(spark, ledger).count() == 3
+    assert ingest_changed(spark, str(landing), target, ledger) == []
+
+
+@pytest.mark.parametrize("left", [HEADER, HEADER + "1,A,mug,-2,12/1/2010 8:26,2.55,7,France\n"])
+def test_emptied_files_lose_their_rows_and_lost_ones_keep_them(spark, folders, left):
+    landing, target, ledger = folders
+    ingest_changed(spark, str(landing), target, ledger)
+    later(landing / "20101201_sales.csv", left)
+    (landing / "20101202_sales.csv").unlink()
+    assert ingest_changed(spark, str(landing), target, ledger) == ["20101201_sales.csv"]
+    assert {day for day, _ in invoices(spark, target)} == {"20101202", "20101203"}
+
+
+def test_a_file_without_a_byte_has_not_arrived(spark, folders):
+    landing, target, ledger = folders
+    later(landing / "20101204_sales.csv", "")
+    assert len(ingest_changed(spark, str(landing), target, ledger)) == 3
+    later(landing / "20101201_sales.csv", "")  # its upload has begun
+    assert ingest_changed(spark, str(landing), target, ledger) == []
+    assert sum(invoices(spark, target).values()) == 6
+
+
+def test_same_length_and_an_odd_name(spark, folders):
+    landing, target, ledger = folders
+    odd = landing / "20101204_a=b {1} 100%_sales.csv"
+    odd.write_text(HEADER + "8,A,mug,1,12/4/2010 8:26,2.55,7,France\n")
+    undated = landing / "new_sales.csv"
+    undated.write_text(odd.read_text())
+    assert len(ingest_changed(spark, str(landing), target, ledger)) == 5
+    for path in (odd, undated):
+        later(path, path.read_text().replace("8,A", "9,A"))
+    assert ingest_changed(spark, str(landing), target, ledger) == [odd.name, undated.name]
+    found = invoices(spark, target)
+    assert (found["20101204", "9"], found["new_sale", "9"], found["20101204", "8"]) == (1, 1, 0)
+    for path in (odd, undated):
+        later(path, HEADER)
+    ingest_changed(spark, str(landing), target, ledger)
+    assert {day for day, _ in invoices(spark, target)} == set(DAYS)
+
+
+def test_digests_are_of_records(spark, tmp_path, with_settings):
+    one, two = '1,"a\nb",x\n', '2,"c\nd",x\n'
+    swapped = '1,"a\nd",x\n2,"c\nb",x\n'  # the same lines, other records
+    texts = {"a": one + two, "b": two + one, "c": swapped, "d": one + two + two, "e": "q\nr\n", "f": "r\nq\n"}
+    paths = []
+    for name, text in texts.items():
+        head = "" if name in "ef" else "k,v,w\n"
+        (tmp_path / name).write_text(head + text)
+        paths.append(str(tmp_path / name))
+
+    def found():
+        return {row["file"]: (row["open"], row["digest"]) for row in digests(spark, paths).collect()}
+
+    whole = found()
+    assert whole["a"] == whole["b"] and len({d for _, d in whole.values()}) == 5
+    assert [whole[name][0] for name in "ae"] == [True, False]
+    with_settings(spark__sql__files__maxPartitionBytes="7", spark__sql__files__openCostInBytes="1")
+    assert found() == whole  # read in parts
+
+
+def test_daily_runs_by_content_equal_a_backfill(spark, folders, tmp_path):
+    landing, _, _ = folders
+    base = str(tmp_path / "daily")
+    daily.refresh(spark, base, str(landing), as_of=AS_OF, by_content=True)
+    corrected = landing / "20101201_sales.csv"
+    later(corrected, HEADER + "7,C,bag,3,12/1/2010 8:26,2.55,11,France\n")
+    run = date(2010, 12, 3)
+    house = daily.refresh(spark, base, str(landing), run, AS_OF, by_content=True)
+    whole = daily.refresh(spark, str(tmp_path / "whole"), str(landing), as_of=AS_OF)
+    assert contents(spark, house) == contents(spark, whole)
+
+
+def test_a_run_that_dies_is_repeated(spark, folders, monkeypatch):
+    landing, target, ledger = folders
+    ingest_changed(spark, str(landing), target, ledger)
+    later(landing / "20101202_sales.csv", HEADER + "9,A,mug,9,12/2/2010 8:26,2.55,8,Spain\n")
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched, pytest.raises(RuntimeError):
+        patched.setattr(by_content, "merge_by_key", dies)
+        ingest_changed(spark, str(landing), target, ledger)
+    noted = []
+    again = ingest_changed(
+        spark, str(landing), target, ledger, taken=lambda df: noted.append(rows(df.select("invoice_no")))
+    )
+    assert again == ["20101202_sales.csv"]
+    assert noted == [Counter([("9",)])] * 2
