@@ -35,6 +35,7 @@ from salesmart.operators import (  # noqa: E402
     staging,
     threshold,
 )
+from salesmart.plans.colocated import Colocated, colocate  # noqa: E402
 from salesmart.plans.refresh import Warehouse, build_dimensions, refresh, take_in  # noqa: E402
 from salesmart.plans.scratch import scratch_path, stored  # noqa: E402
 from salesmart.sinks.merge import merge_by_key  # noqa: E402
@@ -374,6 +375,23 @@ def top_n_products_monthly_history(spark: SparkSession, tables: str) -> DataFram
     return _top(spark, tables, None)
 
 
+def _colocated(spark: SparkSession, tables: str) -> Colocated:
+    stg = _stored_stg(spark, tables, *dict.fromkeys((*_OF_FACT, *_OF_CUSTOMERS, "description")))
+    base = scratch_path(spark, "colocated")
+    name = base.rsplit("/", 1)[1].replace("-", "_")
+    return colocate(base, name, _fact(stg), _customers(stg), products.dim_products(stg))
+
+
+def segments_colocated(spark: SparkSession, tables: str) -> DataFrame:
+    """Segment performance over all months, from bucketed tables without a shuffle for joins."""
+    return _colocated(spark, tables).segments()
+
+
+def top_products_colocated(spark: SparkSession, tables: str) -> DataFrame:
+    """The top products of all months, likewise."""
+    return _colocated(spark, tables).top_products()
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Segment performance over all months: touches every layer."""
     return agg_customer_segments_monthly_history(spark, "/root/testdata/sf0.001")
@@ -410,6 +428,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             agg_customer_segments_monthly_history,
             top_n_products_monthly,
             top_n_products_monthly_history,
+            segments_colocated,
+            top_products_colocated,
         )
     }
     if llm is None:
@@ -681,6 +701,8 @@ def oracle_sql() -> dict[str, str]:
         "customer_base_kept": _sql("base").replace(base, f"{base} AND {kept}"),
         "orders_rolled_up": _sql("orders"),
         "top_n_products_by_threshold": _sql("top"),
+        "segments_colocated": _sql("segments_monthly"),
+        "top_products_colocated": _sql("top"),
     }
     if llm is None:
         return own

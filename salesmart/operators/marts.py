@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from salesmart.functions.amounts import mean, per_unit, total
 from salesmart.functions.dates import month_start
-from salesmart.schemas import ANONYMOUS
+from salesmart.schemas import ANONYMOUS, TOP_N_PRODUCTS_MONTHLY
 
 
 def _in_month(day: Column, month: date) -> Column:
@@ -76,7 +76,13 @@ def agg_customer_segments_monthly(
     """
     if month is not None:
         fact = fact.where(_in_month(F.col("invoice_day"), month))
-    spending = (
+    return segment_report(customer_months(fact), customers)
+
+
+def customer_months(fact: DataFrame) -> DataFrame:
+    """Sales and line items of named customers by month: month_start_date, customer_id, amount,
+    lines."""
+    return (
         named_sales(fact)
         .groupBy(month_start(F.col("invoice_day")).alias("month_start_date"), "customer_id")
         .agg(
@@ -84,6 +90,10 @@ def agg_customer_segments_monthly(
             F.count(F.lit(1)).alias("lines"),
         )
     )
+
+
+def segment_report(spending: DataFrame, customers: DataFrame) -> DataFrame:
+    """``agg_customer_segments_monthly`` of ``customer_months``."""
     return (
         spending.join(customers.select("customer_id", "rfm_segment"), "customer_id")
         .groupBy("month_start_date", "rfm_segment")
@@ -105,23 +115,23 @@ def top_n_products_monthly(
     """
     if month is not None:
         fact = fact.where(_in_month(F.col("invoice_day"), month))
-    sales = fact.groupBy(
+    # Only stock codes with a dimension row compete; their texts join the winners alone.
+    sales = product_months(fact).join(products.select("stock_code"), "stock_code", "left_semi")
+    return ranked(sales, n).join(products, "stock_code").select(*TOP_N_PRODUCTS_MONTHLY.names)
+
+
+def product_months(fact: DataFrame) -> DataFrame:
+    """Sales by month: month_start_date, stock_code, total_sales_this_month."""
+    return fact.groupBy(
         month_start(F.col("invoice_day")).alias("month_start_date"), "stock_code"
     ).agg(total(F.col("line_item_total_amount")).alias("total_sales_this_month"))
+
+
+def ranked(sales: DataFrame, n: int) -> DataFrame:
+    """The ``n`` best rows of each month, with their rank."""
     best_first = W.partitionBy("month_start_date").orderBy(
         F.desc("total_sales_this_month"), "stock_code"
     )
-    # Only stock codes with a dimension row compete; their texts join the winners alone.
-    best = (
-        sales.join(products.select("stock_code"), "stock_code", "left_semi")
-        .withColumn("rank_this_month", F.row_number().over(best_first))
-        .where(F.col("rank_this_month") <= n)
-    )
-    return best.join(products, "stock_code").select(
-        "month_start_date",
-        "stock_code",
-        "description",
-        "product_category",
-        "total_sales_this_month",
-        F.col("rank_this_month").cast("bigint").alias("rank_this_month"),
-    )
+    rank = F.row_number().over(best_first)
+    best = sales.withColumn("rank_this_month", rank).where(F.col("rank_this_month") <= n)
+    return best.withColumn("rank_this_month", F.col("rank_this_month").cast("bigint"))

@@ -112,18 +112,18 @@ def _first(delivered, path, key, schema, noted) -> DataFrame:
     changed = stored(keys.distinct(), "changed")
     if noted is not None:
         noted(changed)
-    write_bucketed(delivered, path, key, _fitting(size_of(spark, path)))
+    write_bucketed(delivered, path, key, fitting_buckets(size_of(spark, path)))
     return changed
 
 
 def _grow(spark: SparkSession, path: str, key: str, schema: StructType, buckets: int) -> None:
     """More buckets for a table that has outgrown its own."""
-    wanted = _fitting(size_of(spark, path))
+    wanted = fitting_buckets(size_of(spark, path))
     if wanted > 2 * buckets:
         write_bucketed(read_table(spark, path, schema), path, key, wanted)
 
 
-def _fitting(size: int) -> int:
+def fitting_buckets(size: int) -> int:
     buckets = FEWEST_BUCKETS
     while buckets * BYTES_PER_BUCKET < size:
         buckets *= 2

@@ -112,9 +112,9 @@ def write_folders(
     """
     spark = df.sparkSession
     folders = list(answers_for)
-    before = _files_in(spark, path, folders)
+    before = files_in(spark, path, folders)
     _write_partitions(df, path, partition_by, cluster_by)
-    after = _files_in(spark, path, list(before))
+    after = files_in(spark, path, list(before))
     for name, files in before.items():
         if after.get(name) == files:  # written files have new names
             delete(spark, f"{path}/{name}")
@@ -174,7 +174,7 @@ def _names(spark: SparkSession, statuses, root: str) -> list[str]:
     return [path.toString()[len(above) + 1 :] for path in paths]
 
 
-def _files_in(spark: SparkSession, path: str, folders: Sequence[str]) -> dict[str, set[str]]:
+def files_in(spark: SparkSession, path: str, folders: Sequence[str]) -> dict[str, set[str]]:
     """The files in those folders of a table that exist, from one listing."""
     if not folders:
         return {}
