@@ -1,0 +1,332 @@
+"""Learned operators and the pipeline against plain Python: counts, trees, noisy-or, stages."""
+
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from test_against_brute_force import TINY, jaccard_pairs, links_and_components
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from salesmart.llm import mixing, quality, queries, toxicity
+from salesmart.llm.tokens import default_tokenizer
+
+LETTERS = r"[^\W\d_]+"
+
+
+def remainder(doc_id, divisor):
+    return zlib.crc32(str(doc_id).encode()) % divisor
+
+
+class PlainLanguages:
+    """Counts of words and n-grams of up to four characters, of all rows learned from."""
+
+    def __init__(self, rows):
+        held = [defaultdict(Counter) for _ in range(5)]
+        for text, lang in rows:
+            for word in re.findall(LETTERS, text.lower()):
+                held[0][lang][word] += 1
+                for n in range(1, 5):
+                    framed = f" {word} "
+                    for i in range(len(framed) - n + 1):
+                        held[n][lang][framed[i : i + n]] += 1
+        self.languages = sorted({lang for _, lang in rows})
+        self.words = {}
+        self.logs = []
+        for n, counts in enumerate(held):
+            often = {lang: {g: c for g, c in counts[lang].items() if c >= 3} for lang in self.languages}
+            if n == 0:
+                self.words = often
+            grams = {g for of in often.values() for g in of}
+            whole = {lang: sum(often[lang].values()) + 0.5 * len(grams) for lang in self.languages}
+            self.logs.append(
+                {
+                    g: [math.log(often[lang].get(g, 0.5) / whole[lang]) if g not in often[lang]
+                        else math.log((often[lang][g] + 0.5) / whole[lang]) for lang in self.languages]
+                    for g in grams
+                }
+            )
+
+    def word(self, word):
+        if word in self.logs[0]:
+            return self.logs[0][word]
+        for n in (4, 3, 2, 1):
+            framed = f" {word} "
+            grams = [framed[i : i + n] for i in range(len(framed) - n + 1)]
+            known = [self.logs[n][g] for g in grams if g in self.logs[n]]
+            if known:
+                return [sum(column) / len(known) for column in zip(*known)]
+        return [0.0] * len(self.languages)
+
+    def guess(self, text):
+        """Language, chance, words and how many of them are known in it."""
+        words = [word.lower() for word in re.findall(LETTERS, text or "")]
+        if not any(letter.isalpha() for word in words for letter in word):
+            return "und", 0.0, len(words), 0
+        total = [math.fsum(column) for column in zip(*map(self.word, words))]
+        best = total.index(max(total))
+        chance = 1 / math.fsum(math.exp(t - total[best]) for t in total)
+        lang = self.languages[best]
+        return lang, chance, len(words), sum(word in self.words[lang] for word in words)
+
+
+def learned_from(documents):
+    return [
+        (r.text, r.lang)
+        for r in documents
+        if remainder(r.doc_id, 4) != 2 and r.text is not None and r.lang is not None
+    ]
+
+
+def documents_of(spark):
+    return spark.read.parquet(f"{TINY}/documents.parquet").collect()
+
+
+def test_op3(spark):
+    documents = documents_of(spark)
+    plain = PlainLanguages(learned_from(documents))
+    out = {r.doc_id: r for r in queries.op3_language_id(spark, TINY).collect()}
+    assert len(out) == len(documents)
+    for r in documents:
+        lang, chance, _, _ = plain.guess(r.text)
+        assert (out[r.doc_id].lang_pred, out[r.doc_id].held_out) == (lang, remainder(r.doc_id, 4) == 2)
+        assert out[r.doc_id].score == pytest.approx(chance, abs=1e-9)
+
+
+def plain_statistics(text):
+    data, words = text.encode(), text.encode().split()
+    lines = [line for line in data.split(b"\n") if line.strip()]
+    kinds = {name: 0 for name in quality._NAMES}
+    for byte in data:
+        kind = next((k for k, signs in quality._CLASSES.items() if byte in signs), None)
+        kinds[kind or ("beyond_ascii" if byte >= 128 else "other_ascii")] += 1
+
+    def share(found, n):
+        return found / max(n, 1)
+
+    signs = set("".join(chr(b) for b in range(33, 127) if not chr(b).isalnum()))
+    return [
+        *(share(n, len(data)) for n in kinds.values()),
+        math.log(1 + len(data)),
+        math.log(1 + len(words)),
+        share(sum(len(w) for w in words), len(words)),
+        share(len(set(words)), len(words)),
+        share(max((words.count(w) for w in set(words)), default=0), len(words)),
+        share(sum(w.isupper() for w in words), len(words)),
+        share(sum(chr(w[-1]) in signs for w in words), len(words)),
+        share(sum(len(w) <= 3 for w in words), len(words)),
+        math.log(1 + len(lines)),
+        share(len(set(lines)), len(lines)),
+        max(len(words), 1) / max(len(lines), 1),
+        share(max((lines.count(x) for x in set(lines)), default=0), len(lines)),
+        1 - share(len({(a, b) for a, b in zip(words, words[1:])}), len(words) - 1),
+    ]
+
+
+def plain_walk(model, row):
+    total = model.base
+    for feature, cut, leaf in zip(model.features, model.cuts, model.leaves):
+        node = 0
+        while node < len(cut):
+            node = 2 * node + (1 if row[feature[node]] <= cut[node] else 2)
+        total += leaf[node - len(cut)]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_op8(spark):
+    """Scores of the query are walks down the trees, one document at a time."""
+    documents = [r for r in documents_of(spark) if len(r.text or "") < 30_000]
+    frame = spark.read.parquet(f"{TINY}/documents.parquet")
+    model = quality.train(frame, spark.read.parquet(f"{TINY}/labels.parquet"))
+    out = {r.doc_id: r for r in queries.op8_quality(spark, TINY).collect()}
+    assert len(out) == frame.count()
+    for r in documents:
+        score = plain_walk(model, plain_statistics(r.text or ""))
+        assert out[r.doc_id].score == pytest.approx(score, abs=1e-9)
+        assert out[r.doc_id].held_out == (remainder(r.doc_id, 5) == 0)
+
+
+def test_trees_take_the_best_split_of_all():
+    """Every node of every tree against all cuts, tried one by one."""
+    random = np.random.default_rng(8)
+    rows = np.round(random.normal(size=(120, 5)), 1)
+    labels = (rows[:, 0] + rows[:, 3] ** 2 + random.normal(size=120) > 1).astype(int)
+    model = quality.fit(rows, labels)
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, quality.BINS + 1)[1:-1])) for c in rows.T]
+
+    def gain(slope, bend):
+        return slope.sum() ** 2 / (bend.sum() + quality.PENALTY)
+
+    total = np.full(len(rows), math.log(labels.mean() / (1 - labels.mean())))
+    assert len(model.features) == quality.TREES
+    for feature, cut, leaf in list(zip(model.features, model.cuts, model.leaves))[:20]:
+        p = 1 / (1 + np.exp(-total))
+        slope, bend = p - labels, p * (1 - p)
+        members = {0: np.arange(len(rows))}
+        for node in range(len(cut)):
+            here = members[node]
+            tried = [0.0]
+            for f, values in enumerate(edges):
+                for value in values:
+                    left = rows[here, f] <= value
+                    if min(left.sum(), (~left).sum()) >= quality.LEAST_IN_LEAF:
+                        sides = (here[left], here[~left])
+                        tried.append(sum(gain(slope[s], bend[s]) for s in sides) - gain(slope[here], bend[here]))
+            left = rows[here, feature[node]] <= cut[node]
+            members[2 * node + 1], members[2 * node + 2] = here[left], here[~left]
+            taken = sum(gain(slope[s], bend[s]) for s in (here[left], here[~left]))
+            assert taken - gain(slope[here], bend[here]) == pytest.approx(max(tried), abs=2e-6)
+        for i, value in enumerate(leaf):
+            here = members[len(cut) + i]
+            want = -quality.RATE * slope[here].sum() / (bend[here].sum() + quality.PENALTY)
+            assert value == pytest.approx(want)
+            total[here] += value
+
+
+def plain_toxicity(text, weights, bias):
+    """Noisy-or over sentences, and the spans of those that are likelier toxic than not."""
+    def chance(z):
+        return 1 / (1 + math.exp(-z))
+
+    clean, spans = 1.0, []
+    for found in re.finditer(r"[^.!?\n]+", text):
+        z = bias
+        for word in set(re.findall(LETTERS, found.group())):
+            word = word.lower()
+            parts = {f"={word}", *(word[:n] for n in (4, 5, 6) if n < len(word))}
+            z += sum(weights.get(part, 0.0) for part in parts)
+        # What a sentence without a telling word has is no evidence.
+        clean *= min(1.0, (1 - chance(z)) / (1 - chance(bias)))
+        if chance(z) >= 0.5:
+            spans.append(found.span())
+    return 1 - clean, spans
+
+
+def test_op10(spark):
+    frame = spark.read.parquet(f"{TINY}/documents.parquet")
+    model = toxicity.train(frame, spark.read.parquet(f"{TINY}/labels.parquet"))
+    assert model.weights
+    out = {r.doc_id: r for r in queries.op10_toxicity(spark, TINY).collect()}
+    judged = toxicity.toxicity(frame, model).collect()
+    assert len(out) == len(judged) and sum(r.predicted for r in out.values()) > 0
+    for r in judged:
+        score, spans = plain_toxicity(r.text or "", model.weights, model.bias)
+        assert out[r.doc_id].score == pytest.approx(score, abs=1e-9)
+        assert (out[r.doc_id].predicted, out[r.doc_id].held_out) == (
+            int(score >= 0.5), remainder(r.doc_id, 5) == 0
+        )
+        named = [(s.start, s.end) for s in r.toxicity.offending]
+        assert named == spans or (not spans and len(named) == r.toxicity.predicted)
+
+
+def test_noisy_or_is_climbed():
+    """Weights of the fit against the likelihood, worked out document by document."""
+    texts = [f"zork{i % 3} said a thing. Then nothing of note {i % 7}." for i in range(40)]
+    texts += [f"a calm text about note {i}. And a thing." for i in range(60)]
+    labels = [1] * 40 + [0] * 60
+    model = toxicity.fit(texts, labels)
+
+    def loss(weights):
+        total = 0.0
+        for text, label in zip(texts, labels):
+            score = min(max(plain_toxicity(text, weights, model.bias)[0], 1e-12), 1 - 1e-12)
+            total -= math.log(score) / 80 if label else math.log(1 - score) / 120
+        return total + 0.5e-4 * len(texts) / 100 * sum(w * w for w in weights.values())
+
+    start, fitted = loss({name: 4.0 for name in model.weights}), loss(model.weights)
+    assert fitted < 0.01 * start
+    for name, weight in model.weights.items():  # the steps end near the top, not on it
+        for step in (-1.5, 1.5):
+            assert loss({**model.weights, name: weight + step}) > fitted - 0.001 * start
+
+
+def test_pipeline(spark, monkeypatch):
+    """All stages in a row on a whole small table, each against plain Python on its input."""
+    stages = {}
+    store = corpus_pipeline.stored
+
+    def stored(df, name):
+        stages[name] = store(df, name)
+        return stages[name]
+
+    monkeypatch.setattr(corpus_pipeline, "stored", stored)
+    packed = corpus_pipeline.run(spark, TINY).collect()
+    documents = {r.doc_id: r for r in documents_of(spark)}
+    rows = {name: stages[name].collect() for name, _ in corpus_pipeline.STAGES[:-1]}
+    for name in rows:
+        assert stages[name].columns == list(documents[min(documents)].asDict())
+
+    # Toxic documents go.
+    frame = spark.read.parquet(f"{TINY}/documents.parquet")
+    model = toxicity.train(frame, spark.read.parquet(f"{TINY}/labels.parquet"))
+    clean = {
+        i for i, r in documents.items()
+        if plain_toxicity(r.text or "", model.weights, model.bias)[0] < 0.5
+    }
+    assert {r.doc_id for r in rows["toxicity"]} == clean and len(clean) < len(documents)
+
+    # Texts without a word, or with few of the words that their language has, go.
+    left = [documents[i] for i in sorted(clean)]
+    plain = PlainLanguages(learned_from(left))
+    shares = defaultdict(list)
+    for text, _ in learned_from(left):
+        lang, _, n, known = plain.guess(text)
+        if n:
+            shares[lang].append(known / n)
+    usual = {lang: sorted(s)[math.ceil(0.01 * len(s)) - 1] for lang, s in shares.items()}
+    named = set()
+    for r in left:
+        lang, _, n, known = plain.guess(r.text)
+        if lang != "und" and known + 2 * usual.get(lang, 0) >= 0.25 * usual.get(lang, 0) * (n + 2):
+            named.add(r.doc_id)
+    assert {r.doc_id for r in rows["language_id"]} == named
+
+    # Of each group of similar documents that of the smallest id stays.
+    texts = {i: documents[i].text for i in named}
+    groups = links_and_components(texts, jaccard_pairs(texts))
+    single = {i for i, (_, component) in groups.items() if i == component}
+    assert {r.doc_id for r in rows["ngram_jaccard_join"]} == single and len(single) < len(named)
+    assert all(tuple(r) == tuple(documents[r.doc_id]) for r in rows["ngram_jaccard_join"])
+
+    # Sources come near their targets, in words of their documents, once a pass at most.
+    def words(text):
+        return re.findall(mixing.WORD_PATTERN, text or "")
+
+    size = Counter()
+    for i in single:
+        size[documents[i].source] += len(words(documents[i].text))
+    order = sorted(size, key=lambda source: (source is None, (source or "").encode()))
+    target = dict(zip(order, mixing.targets([size[source] for source in order])))
+    took, times = Counter(), Counter()
+    for r in rows["mixing"]:
+        assert (r.source, r.lang) == (documents[r.doc_id].source, documents[r.doc_id].lang)
+        whole = iter(words(documents[r.doc_id].text))
+        assert all(word in whole for word in words(r.text))  # in their order
+        took[r.source] += len(words(r.text))
+        times[r.doc_id] += 1
+    assert times.keys() <= single and max(times.values()) <= 2
+    assert all(abs(took[s] - target[s]) <= 2 * mixing.BLOCK_WORDS for s in order if size[s])
+
+    # All tokens of all rows, in sequences of 2048 at most without a gap.
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    want = Counter()
+    for r in rows["mixing"]:
+        ids = np.array([*tokenizer.encode(r.text, add_special_tokens=False).ids, 0], "<u4")
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want[r.doc_id, k, at, len(part), zlib.crc32(part.tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == want
+    sequences = defaultdict(list)
+    for r in packed:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    total = sum(length for _, _, _, length, _ in want.elements())
+    assert len(sequences) <= -(-total // 2048) * 1.02 + 1
