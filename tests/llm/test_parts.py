@@ -295,3 +295,29 @@ def test_a_language_of_any_size_is_sampled(spark, monkeypatch):
 )
 def test_teasers_and_comments_are_no_articles(page, article):
     assert html_text.blocks(page)[0] == article
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["ad-slot", "cookie-banner", "comment-list", "related-posts", "c-ad", "social_share",
+     "newsletter__signup", "article-sidebar", "lead x-promo"],
+)
+@pytest.mark.parametrize("container", ["div", "section", "ul"])
+def test_compound_names_tell_containers(name, container):
+    block = f'<{container} class="{name}"><p>Buy this <div>now</div></p></{container}>'
+    page = f"<article><p>One.</p>{block}<p>Two.</p></article>"
+    assert html_text.blocks(page) == (["One.", "Two."], [])
+
+
+@pytest.mark.parametrize(
+    "name", ["no-sidebar", "has-comments", "sidebar-layout", "menu-of-the-day", "badge-row", "-", "ad2"]
+)
+def test_other_names_tell_nothing(name):
+    for opened in (f'<div class="{name}">', '<div id="ad-slot">', '<table class="share-prices">'):
+        kind = opened[1:].split()[0]
+        inside = "<tr><td>Two.</td></tr>" if kind == "table" else "<p>Two.</p>"
+        page = f"<article><p>One.</p>{opened}{inside}</{kind}></article>"
+        assert html_text.blocks(page)[0] == ["One.", "Two."]
+    for kept in ("h2", "p", "article", "main"):
+        page = f'<article><p>One.</p><{kept} class="related-work">Two.</{kept}></article>'
+        assert html_text.blocks(page)[0] == ["One.", "Two."]
