@@ -27,9 +27,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Size of the mix over the size of all sources, and the most passes over one source.
 VOLUME = 1.5
 MOST_PASSES = 2.0
-#: Words in a block, and output shards.
+#: Words in a block; output shards at least, and slots that a shard is meant for.
 BLOCK_WORDS = 64
 SHARDS = 64
+SLOTS_PER_SHARD = 1_000_000
 SEED = 20_240_501
 
 
@@ -152,7 +153,7 @@ def mix(
     volume: float = VOLUME,
     most_passes: float = MOST_PASSES,
     block_words: int = BLOCK_WORDS,
-    shards: int = SHARDS,
+    shards: int | None = None,
 ) -> Mix:
     """Plans the mix of all ``documents`` (doc_id, text, source).
 
@@ -160,7 +161,8 @@ def mix(
     The list of sources passes through the driver: a mix is laid down source by source, so
     it is short.  Null and empty texts have size 0 and are never taken; rows that repeat an
     id, or all of a document, count each.  Every pass takes a block once, so nothing is
-    taken more often than ``most_passes`` rounded up.  Reruns agree, whatever the
+    taken more often than ``most_passes`` rounded up.  Unless given, ``shards`` grows with the
+    slots, as a task makes a shard's.  Reruns agree, whatever the
     partitions: places come from hashes of ids and texts, draws from a fixed seed.
     """
     spark = documents.sparkSession
@@ -203,6 +205,8 @@ def mix(
         "begin",
     )
     placed = stored(placed, "placed")
+    if shards is None:
+        shards = max(SHARDS, -(-int(sources["slots"].sum()) // SLOTS_PER_SHARD))
     drawn = draw(sources["slots"].tolist(), shards) if len(sources) else np.zeros((0, 0), np.int64)
     first = np.cumsum(drawn, axis=0) - drawn
     ranges = spark.createDataFrame(
