@@ -8,9 +8,11 @@ text's score is the sum over its words.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,20 @@ from pyspark.sql import functions as F
 
 from salesmart.llm.common import drop_tools
 
-WORD = re.compile(r"[^\W\d_]+")
+
+def _marks() -> str:
+    """The combining marks, as ranges of a character class: vowel signs, accents."""
+    planes = (range(0x300, 0x20000), range(0xE0000, 0xE1000))  # there are none elsewhere
+    marks = [c for plane in planes for c in plane if unicodedata.category(chr(c))[0] == "M"]
+    return "".join(
+        f"{chr(run[0])}-{chr(run[-1])}"
+        for _, grouped in groupby(enumerate(marks), lambda at: at[1] - at[0])
+        if (run := [mark for _, mark in grouped])
+    )
+
+
+#: Letters, and the marks that follow them.
+WORD = re.compile(rf"[^\W\d_]++(?:[{_marks()}]++[^\W\d_]*+)*+")
 #: Longest character n-gram; a word is framed by blanks first.
 LONGEST_NGRAM = 4
 #: Training documents taken for each language, by lowest hash (about so many).

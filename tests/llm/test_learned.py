@@ -2,6 +2,7 @@
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -21,13 +22,25 @@ def remainder(doc_id, divisor):
     return zlib.crc32(str(doc_id).encode()) % divisor
 
 
+def lettered(text):
+    """Runs of letters and the marks behind them, letter by letter."""
+    words, inside = [], False
+    for sign in text:
+        if re.fullmatch(LETTERS, sign) or (inside and unicodedata.category(sign)[0] == "M"):
+            words.append(words.pop() + sign if inside else sign)
+            inside = True
+        else:
+            inside = False
+    return words
+
+
 class PlainLanguages:
     """Counts of words and n-grams of up to four characters, of all rows learned from."""
 
     def __init__(self, rows):
         held = [defaultdict(Counter) for _ in range(5)]
         for text, lang in rows:
-            for word in re.findall(LETTERS, text.lower()):
+            for word in lettered(text.lower()):
                 held[0][lang][word] += 1
                 for n in range(1, 5):
                     framed = f" {word} "
@@ -63,7 +76,7 @@ class PlainLanguages:
 
     def guess(self, text):
         """Language, chance, words and how many of them are known in it."""
-        words = [word.lower() for word in re.findall(LETTERS, text or "")]
+        words = [word.lower() for word in lettered(text or "")]
         if not any(letter.isalpha() for word in words for letter in word):
             return "und", 0.0, len(words), 0
         total = [math.fsum(column) for column in zip(*map(self.word, words))]

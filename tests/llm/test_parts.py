@@ -321,3 +321,27 @@ def test_other_names_tell_nothing(name):
     for kept in ("h2", "p", "article", "main"):
         page = f'<article><p>One.</p><{kept} class="related-work">Two.</{kept}></article>'
         assert html_text.blocks(page)[0] == ["One.", "Two."]
+
+
+@pytest.mark.parametrize(
+    "text, words",
+    [
+        ("हिन्दी भाषा", ["हिन्दी", "भाषा"]),
+        ("cafe\u0301 9 nai\u0308ve", ["cafe\u0301", "nai\u0308ve"]),
+        ("x2y a_b \u0301 \u0301a", ["x", "y", "a", "b", "a"]),
+        ("", []),
+    ],
+)
+def test_marks_belong_to_their_words(text, words):
+    assert language_id.WORD.findall(text) == words
+
+
+def test_shards_grow_with_the_slots(spark, monkeypatch):
+    rows = [(i, "a b c d " * 40, "xyz"[i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "SHARDS", 2)
+    monkeypatch.setattr(mixing, "SLOTS_PER_SHARD", 20)
+    planned = mixing.mix(docs)
+    slots = planned.pieces.select("position", "slot", "shard").distinct()
+    assert slots.select("shard").distinct().count() == -(-planned.sources["slots"].sum() // 20) > 2
+    assert slots.count() == planned.sources["slots"].sum()
