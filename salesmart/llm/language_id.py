@@ -218,6 +218,8 @@ def identifier(model: Model):
                     "n_known": [known for _, _, _, known in found],
                 }
             )
+        guesser = texts = found = None
+        drop_tools()  # a worker that gets no other task keeps nothing
 
     return language
 

@@ -199,6 +199,8 @@ def scorer(model: Model):
                 ],
                 columns=["score", "predicted", "n_sentences", "offending"],
             )
+        known = texts = rows = None
+        drop_tools()  # a worker that gets no other task keeps nothing
 
     return toxicity
 
