@@ -31,6 +31,7 @@ from salesmart.llm.common import (
     CHARS_AT_A_TIME,
     batched,
     components,
+    drop_tools,
     find_roots,
     kept_tool,
     per_run,
@@ -125,7 +126,7 @@ class Shingler:
 
 
 def shingler(words: int) -> Shingler:
-    """The worker's shingler: what one task has remembered serves the next."""
+    """The worker's shingler, which remembers words until the task ends."""
     return kept_tool(("shingler", words), lambda: Shingler(words))
 
 
@@ -181,6 +182,8 @@ def _describe(words: int):
                 yield pd.DataFrame(
                     out, columns=["doc_id", "class", "ngrams", "minima", "sketch"]
                 )
+        made = frame = texts = found = out = None
+        drop_tools()  # waiting workers keep nothing
 
     return task
 
@@ -366,6 +369,8 @@ def _verify_groups(words: int, threshold: float):
         kinds = dict.fromkeys(["class", "links", "other", "group"], "Int64") | {"block": "Int32"}
         for frame in batched(per_run(frames, ["group", "block"], group), names):
             yield frame.astype(kinds)
+        frame = None
+        drop_tools()  # waiting workers keep nothing
 
     return task
 
