@@ -38,9 +38,10 @@ def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     trained = id_remainder(F.col("doc_id"), 4) != 2
     model = language_id.train(docs, trained)
     into = free_name(docs, "language")
-    named = language_id.identify(docs, model, into)
+    # Stored: what is usual is told from all of them before any is rejected.
+    named = stored(language_id.identify(docs, model, into), "named")
     usual = F.lit(0.0)
-    for lang, share in language_id.least_known(docs, trained, model).items():
+    for lang, share in language_id.least_known(named, trained, into).items():
         usual = F.when(F.col(into)["lang_pred"] == lang, share).otherwise(usual)
     n_words, n_known = F.col(into)["n_words"], F.col(into)["n_known"]
     enough = n_known + ADDED_WORDS * usual >= LEAST_KNOWN * usual * (n_words + ADDED_WORDS)

@@ -7,6 +7,7 @@ text's score is the sum over its words.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesmart.llm.common import drop_tools
+from salesmart.llm.common import drop_tools, stored
 
 
 def _marks() -> str:
@@ -37,13 +38,17 @@ def _marks() -> str:
 WORD = re.compile(rf"[^\W\d_]++(?:[{_marks()}]++[^\W\d_]*+)*+")
 #: Longest character n-gram; a word is framed by blanks first.
 LONGEST_NGRAM = 4
-#: Training documents taken for each language, by lowest hash (about so many).
+#: Documents that ``sample`` takes of each language, by lowest hash (about so many).
 PER_LANGUAGE = 1_200
 #: Values of the hash that decides, so many that a share of any table is more than none.
 HASHES = 2**62
-#: A word or n-gram is kept if training has it so often.
+#: A word or n-gram is kept if training has it so often, and so often for each word of its language:
+#: that bounds the model, whatever it was counted over.
 LEAST_COUNT = 3
-#: Words whose scores a task remembers.
+LEAST_SHARE = 3e-6
+#: Distinct texts whose counts a task holds before it hands them on.
+COUNTED_TOGETHER = 200_000
+#: Distinct texts between white space whose scores a task remembers.
 REMEMBERED = 200_000
 UNDETERMINED = "und"
 SCHEMA = "lang_pred string, score double, n_words int, n_known int"
@@ -54,23 +59,55 @@ def ngrams(word: str, n: int) -> list[str]:
     return [framed[i : i + n] for i in range(len(framed) - n + 1)]
 
 
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words of each language with their number.
+
+    What stands between white space is counted first: no word holds any, and there are far
+    fewer distinct ones to look for words in than there is text.
+    """
     drop_tools()
-    counts: dict[tuple[str, int], Counter] = {}
+    tokens: dict[str, Counter] = {}
     for frame in frames:
         for lang, text in zip(frame["lang"], frame["text"]):
-            words = Counter(WORD.findall(text.lower()))
-            counts.setdefault((lang, 0), Counter()).update(words)
-            for n in range(1, LONGEST_NGRAM + 1):
-                grams = counts.setdefault((lang, n), Counter())
-                for word, times in words.items():
-                    for gram in ngrams(word, n):
-                        grams[gram] += times
-    for (lang, n), grams in counts.items():
-        if grams:
+            tokens.setdefault(lang, Counter()).update(text.split())
+            if sum(map(len, tokens.values())) > COUNTED_TOGETHER:
+                yield from _words_of(tokens)
+                tokens = {}
+    yield from _words_of(tokens)
+    tokens = frame = None
+    drop_tools()  # a worker that gets no other task keeps nothing
+
+
+def _words_of(tokens: dict[str, Counter]) -> Iterator[pd.DataFrame]:
+    for lang, counted in tokens.items():
+        words: Counter = Counter()
+        for token, times in counted.items():
+            for word in WORD.findall(token.lower()):
+                words[word] += times
+        if words:
+            yield pd.DataFrame({"lang": lang, "gram": list(words), "times": list(words.values())})
+
+
+def _counted_ngrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """N-grams of the words, which come with their number."""
+    counts: dict[tuple[str, int], Counter] = {}
+
+    def counted() -> Iterator[pd.DataFrame]:
+        for (lang, n), grams in counts.items():
             yield pd.DataFrame(
                 {"lang": lang, "n": n, "gram": list(grams), "times": list(grams.values())}
             )
+        counts.clear()
+
+    for frame in frames:
+        for lang, word, times in zip(frame["lang"], frame["gram"], frame["times"].tolist()):
+            for n in range(1, LONGEST_NGRAM + 1):
+                grams = counts.setdefault((lang, n), Counter())
+                for gram in ngrams(word, n):
+                    grams[gram] += times
+        if sum(map(len, counts.values())) > COUNTED_TOGETHER:
+            yield from counted()
+    yield from counted()
 
 
 @dataclass
@@ -113,23 +150,35 @@ def sample(documents: DataFrame, trained: Column) -> tuple[list[str], DataFrame]
 
 
 def train(documents: DataFrame, trained: Column) -> Model:
-    """Counts words and n-grams of a bounded ``sample``.
+    """Counts words and n-grams of all rows where ``trained`` holds and lang is not null.
 
-    Counting runs in tasks, the sums in Spark; what reaches the driver is the model, bounded
-    by the sample.
+    Counting runs in tasks, the sums in Spark: words first, and the n-grams from the distinct
+    words.  What reaches the driver is the model, of at most 1 / ``LEAST_SHARE`` words a language.
     """
-    languages, picked = sample(documents, trained)
+    usable = documents.where(trained & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    languages = sorted(row["lang"] for row in usable.groupBy("lang").count().collect())
     if not languages:
         return Model([])
-    counts = (
-        picked
-        .mapInPandas(_counted, "lang string, n int, gram string, times long")
+    summed = F.sum("times").alias("times")
+    words = stored(
+        usable.select("lang", "text")
+        .mapInPandas(_counted_words, "lang string, gram string, times long")
+        .groupBy("lang", "gram")
+        .agg(summed),
+        "words",
+    )
+    least = F.lit(LEAST_COUNT)
+    for row in words.groupBy("lang").agg(summed).collect():  # a language each
+        least = F.when(
+            F.col("lang") == row["lang"], max(LEAST_COUNT, math.ceil(LEAST_SHARE * row["times"]))
+        ).otherwise(least)
+    grams = (
+        words.mapInPandas(_counted_ngrams, "lang string, n int, gram string, times long")
         .groupBy("lang", "n", "gram")
-        .agg(F.sum("times").alias("times"))
-        .where(F.col("times") >= LEAST_COUNT)
-        .toPandas()
+        .agg(summed)
     )
-    return model_of(languages, counts)
+    counts = words.select("lang", F.lit(0).alias("n"), "gram", "times").unionByName(grams)
+    return model_of(languages, counts.where(F.col("times") >= least).toPandas())
 
 
 def model_of(languages: list[str], counts: pd.DataFrame) -> Model:
@@ -154,7 +203,10 @@ def model_of(languages: list[str], counts: pd.DataFrame) -> Model:
 
 
 class Guesser:
-    """Scores texts with a model and remembers the words it met."""
+    """Scores texts with a model and remembers what it met between white space.
+
+    That may hold no word or several; their scores and numbers are added up.
+    """
 
     def __init__(self, model: Model):
         self.model = model
@@ -163,35 +215,44 @@ class Guesser:
     def _forget(self) -> None:
         self.row: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.model.languages)))
-        self.known = np.zeros(self.scores.shape, bool)
+        self.known = np.zeros(self.scores.shape, np.int32)
+        self.words = np.zeros(len(self.scores), np.int32)
+        self.lettered = np.zeros(len(self.scores), bool)
 
-    def _learn(self, word: str) -> int:
+    def _learn(self, token: str) -> int:
         at = len(self.row)
-        if at >= len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-        self.scores[at] = self.model.word(word.lower())
-        if (row := self.model.rows[0].get(word.lower())) is not None:
-            self.known[at] = self.model.known[row]
-        self.row[word] = at
+        if at >= len(self.words):
+            for name in ("scores", "known", "words", "lettered"):
+                held = getattr(self, name)
+                setattr(self, name, np.concatenate([held, np.zeros_like(held)]))
+        words = WORD.findall(token)
+        self.words[at] = len(words)
+        # Words may be numerals like ½ or Ⅷ, which are no letters.
+        self.lettered[at] = any(letter.isalpha() for word in words for letter in word)
+        for word in map(str.lower, words if self.model.languages else ()):
+            self.scores[at] += self.model.word(word)
+            if (row := self.model.rows[0].get(word)) is not None:
+                self.known[at] += self.model.known[row]
+        self.row[token] = at
         return at
 
     def guess(self, text: str | None) -> tuple[str, float, int, int]:
-        words = WORD.findall(text) if text else []
-        # Words may be numerals like ½ or Ⅷ, which are no letters.
-        lettered = any(letter.isalpha() for word in words for letter in word)
-        if not lettered or not self.model.languages:
-            return UNDETERMINED, 0.0, len(words), 0
+        tokens = text.split() if text else []
         total = np.zeros(len(self.model.languages))
         known = np.zeros(len(total), np.int64)
-        for begin in range(0, len(words), REMEMBERED // 2):
+        n, lettered = 0, False
+        for begin in range(0, len(tokens), REMEMBERED // 2):
             if len(self.row) > REMEMBERED // 2:
                 self._forget()
-            part, row = words[begin : begin + REMEMBERED // 2], self.row
-            rows = [r if (r := row.get(w)) is not None else self._learn(w) for w in part]
+            part, row = tokens[begin : begin + REMEMBERED // 2], self.row
+            rows = [r if (r := row.get(t)) is not None else self._learn(t) for t in part]
             total += self.scores[rows].sum(axis=0)
             known += self.known[rows].sum(axis=0)
-        return self._best(total, len(words), known)
+            n += int(self.words[rows].sum())
+            lettered = lettered or bool(self.lettered[rows].any())
+        if not lettered or not self.model.languages:
+            return UNDETERMINED, 0.0, n, 0
+        return self._best(total, n, known)
 
     def _best(
         self, total: np.ndarray, n: int, known: np.ndarray
@@ -235,10 +296,16 @@ def identify(documents: DataFrame, model: Model, into: str = "language") -> Data
     return documents.withColumn(into, identifier(model)(F.col("text")))
 
 
-def least_known(documents: DataFrame, trained: Column, model: Model) -> dict[str, float]:
-    """For each language, the share of known words that a hundredth of its sample stays below."""
-    found = identify(sample(documents, trained)[1], model, "found").where("found.n_words > 0")
-    rows = found.groupBy("lang").agg(
-        F.percentile_approx(F.expr("found.n_known / found.n_words"), 0.01, 10_000).alias("share")
+def least_known(named: DataFrame, trained: Column, found: str) -> dict[str, float]:
+    """For each language, the share of known words that a hundredth of its documents stays below.
+
+    ``named`` has ``identify``'s column ``found``; all rows learned from count that have a word.
+    """
+    learned = trained & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    n_words, n_known = F.col(found)["n_words"], F.col(found)["n_known"]
+    rows = (
+        named.where(learned & (n_words > 0))
+        .groupBy("lang")
+        .agg(F.percentile_approx(n_known / n_words, 0.01, 10_000).alias("share"))
     )
     return {row["lang"]: row["share"] for row in rows.collect()}  # a row for each language

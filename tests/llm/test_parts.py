@@ -4,6 +4,7 @@ import io
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -20,7 +21,7 @@ from salesmart.llm import (
     token_files,
     toxicity,
 )
-from salesmart.llm.common import components, find_roots, running_start
+from salesmart.llm.common import batched, components, find_roots, running_start
 from salesmart.llm.tokens import Encoder, default_tokenizer
 
 
@@ -263,6 +264,43 @@ def test_a_language_of_any_size_is_sampled(spark, monkeypatch):
     assert str(int(1e-6 / 2_000 * 2**62)) in plan
 
 
+def test_languages_are_learned_from_all_rows(spark, monkeypatch):
+    """Counts and the usual share of known words are those of the whole table, not of a sample."""
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 10)
+    documents = spark.range(3_000).selectExpr(
+        "id AS doc_id", "concat('common, (w', id DIV 3, ') it''s') AS text", "'en' AS lang"
+    )
+    model = language_id.train(documents, F.lit(True))
+    assert len(model.rows[0]) == 4 and model.logs[2][model.rows[2]["co"]].shape == (1,)
+    found = language_id.identify(documents, model, "found")
+    assert found.where("found.n_words = 4 AND found.n_known = 4").count() == 3_000
+    poor = found.withColumn(
+        "found", F.expr("if(doc_id % 20 = 0, named_struct('n_words', 4, 'n_known', 1), "
+                        "named_struct('n_words', 4, 'n_known', 4))")
+    )
+    assert language_id.least_known(poor, F.lit(True), "found") == {"en": 0.25}
+
+
+def test_batches_of_large_rows_are_small():
+    rows = ((i, None if i % 2 else bytes(1_000)) for i in range(100))
+    sizes = [len(frame) for frame in batched(rows, ["a", "b"], 1_000, 10_000)]
+    assert sum(sizes) == 100 and max(sizes) == 20
+    assert [len(f) for f in batched(((i, "x") for i in range(5)), ["a", "b"], 2)] == [2, 2, 1]
+
+
+def test_words_between_white_space_count_as_words_of_the_text():
+    text = "Don't ΑΣ ΑΣ. x½y Ⅷ e\u0301a\u00a0b\x1cC 12 İx \u0301q a_b"
+    model = language_id.Model(["xx"], [{}] * 5, [np.zeros((0, 1))] * 5, np.zeros((0, 1), bool))
+    words = language_id.WORD.findall(text)
+    assert language_id.Guesser(model).guess(text)[2] == len(words)
+    frames = iter([pd.DataFrame({"lang": ["xx"] * 2, "text": [text] * 2})])
+    counted = pd.concat(language_id._counted_words(frames))
+    lowered = language_id.WORD.findall(text.lower())
+    assert dict(zip(counted["gram"], counted["times"])) == {
+        word: 2 * lowered.count(word) for word in lowered
+    }
+
+
 @pytest.mark.parametrize(
     "page, article",
     [
