@@ -1,10 +1,12 @@
 """CSV files whose quoted texts hold line breaks, read in parts all the same.
 
 A part of a file may begin inside a quoted text.  What a line does to that state is a function of
-the state it begins in: with open quotes or without.  Functions compose, so each block of a
-file is put into one, the blocks of a file are put together in order, and every line then knows
-its state.  Lines of one record are joined, all others are records by themselves.  Only files
-that have such breaks take this way; whether they do is found by a scan of their lines.
+the state it begins in: with open quotes or without.  Functions compose: a first scan puts each
+block of a file into one, the few blocks of a file are put together in order, and a second scan
+knows the state that each line of a block begins in.  There the lines of a record are joined where
+they are read; what is shuffled are a row for each block and the records that cross the end of a
+block.  Only files that have such breaks take this way; whether they do is found by a scan of
+their lines.
 
 Quotes count as the reader has them: one opens a text at the start of a field only, doubled ones
 are part of the text.  Lines end with LF or CRLF; breaks inside texts stay as they are.
@@ -13,12 +15,17 @@ are part of the text.  Lines end with LF or CRLF; breaks inside texts stay as th
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from salesmart.plans.scratch import stored
 from salesmart.sources.files import file_name
 
 # Whole fields, then one that is opened and not closed.
@@ -27,7 +34,12 @@ _OPEN = r'^(?:(?:"(?:[^"]++|"")*+"[^,]*+|[^",][^,]*+|),)*+"(?:[^"]++|"")*+\z'
 
 def ends_open(line: Column) -> Column:
     """Whether a line that begins outside of quotes ends inside."""
-    return F.coalesce(line.rlike(_OPEN), F.lit(False))
+    return F.coalesce(F.contains(line, F.lit('"')) & line.rlike(_OPEN), F.lit(False))
+
+
+def stays_open(line: Column) -> Column:
+    """Whether a line that begins inside of quotes ends inside."""
+    return ~F.contains(line, F.lit('"')) | ends_open(F.concat(F.lit('"'), line))
 
 
 def plain_path(path: str) -> str:
@@ -39,13 +51,25 @@ def lines_of(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The lines of files with their file's name, block and place in it."""
     lines = spark.read.option("lineSep", "\n").text([plain_path(path) for path in paths])
     return lines.select(
-        "value",
-        file_name().alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("place"),
+        "value", file_name().alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
 
 
+@contextmanager
+def _same_blocks(spark: SparkSession) -> Iterator[None]:
+    """Files are cut into the same blocks, however many cores come or go meanwhile."""
+    setting = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(setting, None)
+    if before is None:
+        cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+        spark.conf.set(setting, cores or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+
+
 class _States:
     """Composes what lines (or blocks) do to the state, over a window in order.
 
@@ -69,57 +93,143 @@ class _States:
         return (start + turns) % 2 == 1
 
 
+def _after(closed: np.ndarray, opened: np.ndarray, begin: bool) -> np.ndarray:
+    """Whether quotes are open after each line, the first of which begins in state ``begin``."""
+    fixed, turned = closed == opened, np.cumsum(closed & ~opened)
+    last = np.maximum.accumulate(np.where(fixed, np.arange(len(closed)), -1))
+    start = np.where(last >= 0, closed[last], begin)
+    return start ^ ((turned - np.where(last >= 0, turned[last], 0)) % 2 == 1)
+
+
+def _of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Runs of lines of one block: its file and number, and the lines."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file = batch.column("file").to_numpy(zero_copy_only=False)
+        block = batch.column("block").to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1
+        for begin, end in zip([0, *ends.tolist()], [*ends.tolist(), len(block)]):
+            yield (file[begin], int(block[begin])), batch.slice(begin, end - begin)
+
+
+def _flags(lines: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(lines.column(c).to_numpy(zero_copy_only=False) for c in ("closed", "opened"))
+
+
+_BLOCK = "file string, block long, closed boolean, opened boolean, begun_closed long, begun_opened long"
+
+
+def _summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each block does to the state, and how many records begin in it, for both states."""
+    names = [column.split()[0] for column in _BLOCK.split(", ")]
+    now, state, begun = None, [False, True], [0, 0]
+    for key, lines in _of_blocks(batches):
+        if key != now:
+            if now is not None:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, (*now, *state, *begun)))])
+            now, state, begun = key, [False, True], [0, 0]
+        closed, opened = _flags(lines)
+        for i in range(2):
+            after = _after(closed, opened, state[i])
+            begun[i] += int((not state[i]) + (~after[:-1]).sum())
+            state[i] = bool(after[-1])
+    if now is not None:
+        yield pa.RecordBatch.from_pylist([dict(zip(names, (*now, *state, *begun)))])
+
+
+_RECORD = "file string, block long, record long, value string, whole boolean"
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of each block; those that begin before it or end after it are not whole."""
+    now, state, record, held, own = None, False, 0, [], False
+
+    def rows(key, records, values, whole) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(
+            {
+                "file": pa.array([key[0]] * len(records), pa.string()),
+                "block": pa.array([key[1]] * len(records), pa.int64()),
+                "record": pa.array(records, pa.int64()),
+                "value": values,
+                "whole": pa.array([whole] * len(records), pa.bool_()),
+            }
+        )
+
+    def finished(whole: bool) -> Iterator[pa.RecordBatch]:
+        if held:
+            yield rows(now, [record], pa.array(["\n".join(held)], pa.string()), whole)
+            held.clear()
+
+    for key, lines in _of_blocks(batches):
+        if key != now:
+            yield from finished(False)
+            begins = lines.column("begins")[0].as_py()
+            if begins is None:
+                raise RuntimeError(f"{key[0]} was cut into other blocks than before")
+            # Lines before the first record are of one that began in an earlier block.
+            now, state, own = key, begins, False
+            record = lines.column("records_before")[0].as_py()
+        after = _after(*_flags(lines), state)
+        starts = np.flatnonzero(~np.r_[state, after[:-1]])
+        state = bool(after[-1])
+        values = lines.column("value").cast(pa.string())
+        if not len(starts):
+            held.extend(values.to_pylist())
+            continue
+        held.extend(values.slice(0, int(starts[0])).to_pylist())
+        yield from finished(own)
+        ends = np.r_[starts, len(values)]
+        if state:  # the last one goes on
+            held.extend(values.slice(int(starts[-1])).to_pylist())
+            ends = ends[:-1]
+        if len(ends) > 1:
+            joined = pc.binary_join(
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), "\n"
+            )
+            yield rows(now, np.arange(1, len(ends)) + record, joined, True)
+        record, own = record + len(starts), True
+    yield from finished(False)
+
+
 def records(lines: DataFrame) -> DataFrame:
     """The records of some files' lines: file, record (from 1) and value."""
-    closed, opened = F.col("closed"), F.col("opened")
     marked = lines.withColumns(
-        {"closed": ends_open(F.col("value")), "opened": ends_open(F.concat(F.lit('"'), "value"))}
+        {"closed": ends_open(F.col("value")), "opened": stays_open(F.col("value"))}
     )
-    in_block = W.partitionBy("file", "block").orderBy("place")
-    upto = in_block.rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = in_block.rowsBetween(W.unboundedPreceding, -1)
-    marked = marked.withColumn("_turned", F.sum((closed & ~opened).cast("int")).over(upto))
-    own = _States(closed, opened, before)
-    marked = marked.withColumns(
-        {"from_closed": own.after(F.lit(False)), "from_opened": own.after(F.lit(True))}
-    )
-    # What each block does, and how many records begin in it, by its last line.
-    state = F.when(F.col("from_closed"), opened).otherwise(closed)
-    other = F.when(F.col("from_opened"), opened).otherwise(closed)
-    blocks = marked.groupBy("file", "block").agg(
-        F.max_by(state, "place").alias("closed"),
-        F.max_by(other, "place").alias("opened"),
-        F.sum((~F.col("from_closed")).cast("int")).alias("begun_closed"),
-        F.sum((~F.col("from_opened")).cast("int")).alias("begun_opened"),
+    with _same_blocks(lines.sparkSession):
+        blocks = stored(
+            marked.select("file", "block", "closed", "opened").mapInArrow(_summed_up, _BLOCK),
+            "blocks",
+        )
+        begun = stored(_begins(blocks), "blocks")
+        # A row for each block of a file.
+        known = marked.join(F.broadcast(begun), ["file", "block"], "left")
+        found = stored(known.mapInArrow(_put_together, _RECORD), "records")
+    ordered = F.sort_array(F.collect_list(F.struct("block", "value")))
+    crossing = (
+        found.where("NOT whole")
+        .groupBy("file", "record")
+        .agg(F.array_join(ordered["value"], "\n").alias("value"))
     )
+    return found.where("whole").select("file", "record", "value").unionByName(crossing)
+
+
+def _begins(blocks: DataFrame) -> DataFrame:
+    """Whether each block begins inside of quotes, and how many records have begun before it."""
+    closed, opened = F.col("closed"), F.col("opened")
     of_file = W.partitionBy("file").orderBy("block")
     upto = of_file.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = of_file.rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("_turned", F.sum((closed & ~opened).cast("int")).over(upto))
     blocks = blocks.withColumn("begins", _States(closed, opened, before).after(F.lit(False)))
     begun = F.when(F.col("begins"), F.col("begun_opened")).otherwise(F.col("begun_closed"))
-    blocks = blocks.select(
-        F.col("file").alias("_file"),
-        F.col("block").alias("_block"),
+    return blocks.select(
+        "file",
+        "block",
         "begins",
         F.coalesce(F.sum(begun).over(before), F.lit(0)).alias("records_before"),
     )
-    inside = F.when(F.col("begins"), F.col("from_opened")).otherwise(F.col("from_closed"))
-    placed = marked.join(
-        blocks, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block"))
-    ).withColumn("inside", inside)
-    number = F.sum((~F.col("inside")).cast("int")).over(
-        in_block.rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    placed = placed.withColumn("record", F.col("records_before") + number)
-    alone = ~F.col("inside") & ~closed
-    ordered = F.sort_array(F.collect_list(F.struct("block", "place", "value")))
-    joined = (
-        placed.where(~alone)
-        .groupBy("file", "record")
-        .agg(F.array_join(ordered["value"], "\n").alias("value"))
-    )
-    return placed.where(alone).select("file", "record", "value").unionByName(joined)
 
 
 def read_quoted(

@@ -31,7 +31,7 @@ from salesmart.streaming.landing import file_day, read_landed, replace_loads
 def digests(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Of each file: file, open (whether a text in it has a line break), digest."""
     lines = lines_of(spark, paths)
-    first_block = F.when(F.col("block") == 0, F.col("place"))
+    first_block = F.when(F.col("block") == 0, F.monotonically_increasing_id())
     by_line = _summed(lines.withColumn("rank", first_block), ends_open(F.col("value")))
     by_line = stored(by_line, "digests")
     named = {path.rsplit("/", 1)[-1]: path for path in paths}

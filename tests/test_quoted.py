@@ -58,6 +58,25 @@ def test_texts_with_breaks_equal_duckdb(spark, tmp_path, in_parts, seed, end):
     assert lines_of(spark, [str(p) for p in paths]).rdd.getNumPartitions() > 20
 
 
+@pytest.mark.parametrize("block, batch", [("1m", "3"), ("150b", "2"), ("40b", "1")])
+def test_lines_are_joined_where_they_are_read(spark, tmp_path, with_settings, block, batch):
+    """Only the records that cross the end of a block are shuffled, in batches of any size."""
+    with_settings(
+        spark__sql__files__maxPartitionBytes=block, spark__sql__files__openCostInBytes="0b",
+        spark__sql__files__minPartitionNum="1", spark__sql__execution__arrow__maxRecordsPerBatch=batch,
+    )
+    path = tmp_path / "x.csv"
+    texts = [*_texts(7, 50, "\n"), ("long", "\n".join(map(str, range(60))), 50), ("last", "a", 51)]
+    _write(path, texts, "\n")
+    found = read_quoted(spark, [str(path)], SCHEMA, CSV_OPTIONS)
+    with path.open(newline="") as file:
+        want = Counter((a, b) for a, b, _ in list(csv.reader(file))[1:])
+    assert Counter((row.a, row.b or "") for row in found.collect()) == want
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    assert plan.count("Aggregate") == 2 and plan.index("NOT whole") > plan.index("Aggregate")
+
+
 def test_quotes_inside_plain_fields_open_nothing(spark):
     lines = {
         '1,HEART 12" RED,2': False,
