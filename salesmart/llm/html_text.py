@@ -1,9 +1,9 @@
 """The main text of web pages: by markup where it tells, else by a host suffix array.
 
 Where a page marks its article (``article`` or ``main``), the markup decides.  Pages without
-such a mark are told from their neighbours: the blocks of the pages of a host are laid end to
-end as one stream of tokens, whose suffix array shows every long run of tokens that distinct
-pages share.  Covered tokens are boilerplate; what stays are the unique runs.  Of a host too
+such a mark are told from their neighbours: the blocks of all pages of a host, marked ones
+among them, are laid end to end as one stream of tokens, whose suffix array shows every long run of
+tokens that distinct pages share.  Covered tokens are boilerplate; what stays are the unique runs.  Of a host too
 large for one task the windows of ``LEAST_SHARED`` tokens are compared in Spark instead, which
 finds the same runs.
 """
@@ -278,19 +278,24 @@ def _marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame[["page_id", "url"]].assign(text=texts)[list(map(bool, texts))]
 
 
-def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All other pages."""
-    for frame in frames:
-        found = [blocks(html) for html in frame["html"]]
-        yield frame[["page_id", "url", "host"]].assign(
-            blocks=["\n".join(others) for _, others in found]
-        )[[not article for article, _ in found]]
+def _parsed(marked: bool):
+    """The blocks of the pages in which no article is found, or of those in which one is."""
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [blocks(html) for html in frame["html"]]
+            yield frame[["page_id", "url", "host"]].assign(
+                blocks=["\n".join(article + others) for article, others in found], marked=marked
+            )[[bool(article) == marked for article, _ in found]]
+
+    return task
 
 
 def _unmarked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def host(run: dict) -> list[tuple]:
         texts = unique_text([page.split("\n") if page else [] for page in run["blocks"]])
-        return list(zip(run["page_id"], run["url"], texts))
+        found = zip(run["page_id"], run["url"], texts, run["marked"])
+        return [(page, url, text) for page, url, text, marked in found if not marked]
 
     for frame in batched(per_run(frames, ["group"], host), ["page_id", "url", "text"], 500):
         yield frame
@@ -328,6 +333,7 @@ def _by_windows(pages: DataFrame, schema: str) -> DataFrame:
         "page_id",
         "url",
         "blocks",
+        "marked",
         F.xxhash64("host").alias("host_id"),
         F.xxhash64("host", "blocks").alias("page"),
     )
@@ -350,7 +356,8 @@ def _by_windows(pages: DataFrame, schema: str) -> DataFrame:
         .agg(F.collect_set("window").alias("shared"))
     )
     return (
-        pages.join(shared, "page", "left")
+        pages.where("NOT marked")
+        .join(shared, "page", "left")
         .select("page_id", "url", "blocks", "shared")
         .mapInPandas(_without, schema)
     )
@@ -372,9 +379,13 @@ def extract(pages: DataFrame) -> DataFrame:
     others = rows.withColumn(
         "host", F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit(""))
     )
-    parsed = stored(
-        others.mapInPandas(_parsed, f"page_id {kind}, url string, host string, blocks string"),
-        "page_blocks",
+    kinds = f"page_id {kind}, url string, host string, blocks string, marked boolean"
+    unmarked = stored(others.mapInPandas(_parsed(False), kinds), "page_blocks")
+    # Their hosts' other pages show what is shared, too.
+    asking = unmarked.select("host").distinct()
+    beside = others.join(asking, "host", "left_semi").select(others.columns)
+    parsed = unmarked.unionByName(
+        stored(beside.mapInPandas(_parsed(True), kinds), "marked_blocks")
     )
     large = (
         parsed.groupBy("host")
@@ -384,7 +395,7 @@ def extract(pages: DataFrame) -> DataFrame:
     )
     told = (
         parsed.join(large, "host", "left_anti")
-        .select("page_id", "url", "blocks", F.xxhash64("host").alias("group"))
+        .select("page_id", "url", "blocks", "marked", F.xxhash64("host").alias("group"))
         .repartition("group")
         .sortWithinPartitions("group")
         .mapInPandas(_unmarked, _TEXT.format(id=kind))

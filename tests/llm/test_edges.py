@@ -206,6 +206,20 @@ def test_html_that_only_mentions_an_article(spark):
     ]
 
 
+@pytest.mark.parametrize("together", [10**9, 10])
+def test_html_is_told_by_marked_neighbours(spark, monkeypatch, together):
+    """What a page without a mark shares with the marked pages of its host is boilerplate."""
+    monkeypatch.setattr(html_text, "BYTES_TOGETHER", together)
+    menu = "<p>home about us contact news shop help terms jobs"
+    rows = [(i, "http://a.example", f"{menu}<article>story {i}</article>") for i in range(3)]
+    rows += [(8, "http://a.example", f"{menu}<p>own text"), (9, "http://b.example", f"{menu}<p>b")]
+    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted((r.page_id, r.text) for r in out.collect()) == [
+        (0, "story 0"), (1, "story 1"), (2, "story 2"), (8, "own text"),
+        (9, "home about us contact news shop help terms jobs\n\nb"),
+    ]
+
+
 def test_html_of_a_large_host(spark, monkeypatch):
     """A host dealt out over tasks gives what one task gives."""
     random = np.random.default_rng(9)
