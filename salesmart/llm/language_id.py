@@ -11,7 +11,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import groupby
 
@@ -48,8 +48,12 @@ LEAST_COUNT = 3
 LEAST_SHARE = 3e-6
 #: Distinct texts whose counts a task holds before it hands them on.
 COUNTED_TOGETHER = 200_000
-#: Distinct texts between white space whose scores a task remembers.
+#: Distinct words whose n-grams a task counts at a time.
+WORDS_TOGETHER = 50_000
+#: Distinct texts between white space whose scores a task remembers, and of how many the scores
+#: are added up at a time (twice as many, if texts are long).
 REMEMBERED = 200_000
+TOKENS_TOGETHER = 25_000
 UNDETERMINED = "und"
 SCHEMA = "lang_pred string, score double, n_words int, n_known int"
 
@@ -91,6 +95,15 @@ def _words_of(tokens: dict[str, Counter]) -> Iterator[pd.DataFrame]:
 def _counted_ngrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """N-grams of the words, which come with their number."""
     counts: dict[tuple[str, int], Counter] = {}
+    held: dict[str, tuple[list[str], list[int]]] = {}
+
+    def add_held() -> None:
+        for lang, (words, times) in held.items():
+            for n, grams, summed in _ngram_sums(words, np.array(times)):
+                counter = counts.setdefault((lang, n), Counter())
+                for gram, number in zip(grams, summed):
+                    counter[gram] += number
+        held.clear()
 
     def counted() -> Iterator[pd.DataFrame]:
         for (lang, n), grams in counts.items():
@@ -100,16 +113,45 @@ def _counted_ngrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts.clear()
 
     for frame in frames:
-        for lang, word, times in zip(frame["lang"], frame["gram"], frame["times"].tolist()):
-            for n in range(1, LONGEST_NGRAM + 1):
-                grams = counts.setdefault((lang, n), Counter())
-                for gram in ngrams(word, n):
-                    grams[gram] += times
-        if sum(map(len, counts.values())) > COUNTED_TOGETHER:
-            yield from counted()
+        for lang, part in frame.groupby("lang", sort=False):
+            words, times = held.setdefault(lang, ([], []))
+            words += part["gram"].tolist()
+            times += part["times"].tolist()
+        if sum(len(words) for words, _ in held.values()) >= WORDS_TOGETHER:
+            add_held()
+            if sum(map(len, counts.values())) > COUNTED_TOGETHER:
+                yield from counted()
+    add_held()
     yield from counted()
 
 
+def _ngram_sums(words: list[str], times: np.ndarray) -> Iterator[tuple[int, list[str], list[int]]]:
+    """Of each n, the distinct n-grams of the framed words and their numbers.
+
+    A word's n-grams count ``times`` each.  An n-gram is told by the rank of its first n - 1
+    characters among those of all words and by its last character.
+    """
+    text = "".join(f" {word} " for word in words)
+    lengths = np.array([len(word) + 2 for word in words])
+    characters, last = np.unique(
+        np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True
+    )
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    times = np.repeat(times, lengths)
+    at, code = np.arange(len(last)), last
+    for n in range(1, LONGEST_NGRAM + 1):
+        if n > 1:
+            inside = at + n <= ends[at]
+            at = at[inside]
+            code = rank[inside] * len(characters) + last[at + n - 1]
+        if not len(at):
+            return
+        _, first, rank = np.unique(code, return_index=True, return_inverse=True)
+        summed = np.zeros(len(first), np.int64)
+        np.add.at(summed, rank, times[at])
+        yield n, [text[i : i + n] for i in at[first].tolist()], summed.tolist()
+
+
 @dataclass
 class Model:
     """``rows[n][gram]`` is the row of ``logs[n]`` with its log frequency in each language.
@@ -122,13 +164,27 @@ class Model:
     logs: list[np.ndarray] = field(default_factory=list)
     known: np.ndarray | None = None
 
-    def word(self, word: str) -> np.ndarray:
-        if (row := self.rows[0].get(word)) is not None:
-            return self.logs[0][row]
+    def words(self, words: list[str]) -> np.ndarray:
+        """Of some words, a row each: the scores, and in which languages they are known."""
+        scores, known = np.zeros((2, len(words), len(self.languages)))
+        rows = np.array([self.rows[0].get(word, -1) for word in words], np.int64)
+        scores[rows >= 0] = self.logs[0][rows[rows >= 0]]
+        known[rows >= 0] = self.known[rows[rows >= 0]]
+        left = np.flatnonzero(rows < 0)
         for n in range(LONGEST_NGRAM, 0, -1):
-            if got := [r for g in ngrams(word, n) if (r := self.rows[n].get(g)) is not None]:
-                return self.logs[n][got].mean(axis=0)
-        return np.zeros(len(self.languages))
+            row, found, numbers = self.rows[n].get, [], []
+            for at in left.tolist():
+                got = [r for gram in ngrams(words[at], n) if (r := row(gram)) is not None]
+                found += got
+                numbers.append(len(got))
+            numbers = np.array(numbers, np.int64)
+            some = numbers > 0
+            if some.any():
+                starts = (np.cumsum(numbers) - numbers)[some]
+                summed = np.add.reduceat(self.logs[n][found], starts, axis=0)
+                scores[left[some]] = summed / numbers[some][:, None]
+            left = left[~some]
+        return np.hstack([scores, known])
 
 
 def sample(documents: DataFrame, trained: Column) -> tuple[list[str], DataFrame]:
@@ -205,7 +261,8 @@ def model_of(languages: list[str], counts: pd.DataFrame) -> Model:
 class Guesser:
     """Scores texts with a model and remembers what it met between white space.
 
-    That may hold no word or several; their scores and numbers are added up.
+    That may hold no word or several; their scores and numbers are added up.  Texts are taken
+    together, so that what is new in them is looked up at once and not one by one.
     """
 
     def __init__(self, model: Model):
@@ -214,45 +271,74 @@ class Guesser:
 
     def _forget(self) -> None:
         self.row: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.model.languages)))
-        self.known = np.zeros(self.scores.shape, np.int32)
-        self.words = np.zeros(len(self.scores), np.int32)
-        self.lettered = np.zeros(len(self.scores), bool)
-
-    def _learn(self, token: str) -> int:
-        at = len(self.row)
-        if at >= len(self.words):
-            for name in ("scores", "known", "words", "lettered"):
-                held = getattr(self, name)
-                setattr(self, name, np.concatenate([held, np.zeros_like(held)]))
-        words = WORD.findall(token)
-        self.words[at] = len(words)
-        # Words may be numerals like ½ or Ⅷ, which are no letters.
-        self.lettered[at] = any(letter.isalpha() for word in words for letter in word)
-        for word in map(str.lower, words if self.model.languages else ()):
-            self.scores[at] += self.model.word(word)
-            if (row := self.model.rows[0].get(word)) is not None:
-                self.known[at] += self.model.known[row]
-        self.row[token] = at
-        return at
+        # Of each its scores, in which languages its words are known, words, and if it has letters.
+        self.table = np.zeros((1024, 2 * len(self.model.languages) + 2))
+
+    def _learn(self, tokens: list[str]) -> None:
+        n, at = len(self.model.languages), len(self.row)
+        while at + len(tokens) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        mine = self.table[at : at + len(tokens)]
+        words, owner, lettered = [], [], [token.isalpha() for token in tokens]
+        for i, token in enumerate(tokens):
+            if lettered[i]:  # then it is a word
+                words.append(token)
+                owner.append(i)
+                continue
+            found = WORD.findall(token)
+            words += found
+            owner += [i] * len(found)
+            # Words may be numerals like ½ or Ⅷ, which are no letters.
+            lettered[i] = any(letter.isalpha() for word in found for letter in word)
+        if words:
+            values = np.ones((len(words), mine.shape[1]))
+            if n:
+                values[:, : 2 * n] = self.model.words(list(map(str.lower, words)))
+            owner = np.array(owner)
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            mine[owner[starts]] = np.add.reduceat(values, starts, axis=0)
+        mine[:, -1] = lettered
+        self.row.update(zip(tokens, range(at, at + len(tokens))))
+
+    def _rows(self, tokens: list[str]) -> list[int]:
+        distinct = dict.fromkeys(tokens)
+        new = [token for token in distinct if token not in self.row]
+        if len(self.row) + len(new) > REMEMBERED:
+            self._forget()
+            new = list(distinct)
+        self._learn(new)
+        return list(map(self.row.__getitem__, tokens))
 
     def guess(self, text: str | None) -> tuple[str, float, int, int]:
-        tokens = text.split() if text else []
-        total = np.zeros(len(self.model.languages))
-        known = np.zeros(len(total), np.int64)
-        n, lettered = 0, False
-        for begin in range(0, len(tokens), REMEMBERED // 2):
-            if len(self.row) > REMEMBERED // 2:
-                self._forget()
-            part, row = tokens[begin : begin + REMEMBERED // 2], self.row
-            rows = [r if (r := row.get(t)) is not None else self._learn(t) for t in part]
-            total += self.scores[rows].sum(axis=0)
-            known += self.known[rows].sum(axis=0)
-            n += int(self.words[rows].sum())
-            lettered = lettered or bool(self.lettered[rows].any())
-        if not lettered or not self.model.languages:
+        return self.guesses([text])[0]
+
+    def guesses(self, texts: Sequence[str | None]) -> list[tuple[str, float, int, int]]:
+        totals = np.zeros((len(texts), self.table.shape[1]))
+        held, starts, owners = [], [], []
+
+        def add_held() -> None:
+            if held:
+                rows = self._rows(held)
+                np.add.at(totals, owners, np.add.reduceat(self.table[rows], starts, axis=0))
+            for each in (held, starts, owners):
+                each.clear()
+
+        for i, text in enumerate(texts):
+            tokens = text.split() if text else []
+            for begin in range(0, len(tokens), TOKENS_TOGETHER):
+                starts.append(len(held))
+                owners.append(i)
+                held += tokens[begin : begin + TOKENS_TOGETHER]
+                if len(held) >= TOKENS_TOGETHER:
+                    add_held()
+        add_held()
+        return [self._guess(total) for total in totals]
+
+    def _guess(self, total: np.ndarray) -> tuple[str, float, int, int]:
+        languages, n = len(self.model.languages), int(total[-2])
+        if not total[-1] or not languages:
             return UNDETERMINED, 0.0, n, 0
-        return self._best(total, n, known)
+        return self._best(total[:languages], n, total[languages:-2])
 
     def _best(
         self, total: np.ndarray, n: int, known: np.ndarray
@@ -270,7 +356,7 @@ def identifier(model: Model):
         drop_tools()
         guesser = Guesser(model)
         for texts in batches:
-            found = [guesser.guess(text) for text in texts]
+            found = guesser.guesses(texts)
             yield pd.DataFrame(
                 {
                     "lang_pred": [lang for lang, _, _, _ in found],

@@ -1,7 +1,9 @@
 """Parts of the operators by themselves."""
 
+import cProfile
 import io
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -383,3 +385,39 @@ def test_shards_grow_with_the_slots(spark, monkeypatch):
     slots = planned.pieces.select("position", "slot", "shard").distinct()
     assert slots.select("shard").distinct().count() == -(-planned.sources["slots"].sum() // 20) > 2
     assert slots.count() == planned.sources["slots"].sum()
+
+
+def test_words_are_looked_up_and_their_ngrams_counted_together():
+    """New words cost a few lookups each, not a dozen calls of numpy; n-grams none of their own."""
+    letters, rng = "abcdefghijklmnopqrstéß語𐐀", random.Random(5)
+    words = list({"".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(20_000)})
+    frame = pd.DataFrame({"lang": "xx", "gram": words, "times": range(1, len(words) + 1)})
+    one_by_one = {
+        (n, gram): times
+        for n in range(1, language_id.LONGEST_NGRAM + 1)
+        for gram, times in _ngram_times(frame, n).items()
+    }
+    with cProfile.Profile() as calls:
+        counted = pd.concat(language_id._counted_ngrams(iter([frame])))
+    assert dict(zip(zip(counted["n"], counted["gram"]), counted["times"])) == one_by_one
+    assert _calls(calls) < 10 * len(words)
+
+    known = counted.iloc[::2]
+    model = language_id.model_of(["xx", "yy"], pd.concat([known, known.iloc[::3].assign(lang="yy")]))
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    with cProfile.Profile() as calls:
+        found = language_id.Guesser(model).guesses(texts)
+    assert _calls(calls) < 22 * len(words)
+    assert found == [language_id.Guesser(model).guess(text) for text in texts]
+
+
+def _ngram_times(frame, n):
+    times = Counter()
+    for word, number in zip(frame["gram"], frame["times"]):
+        for gram in language_id.ngrams(word, n):
+            times[gram] += number
+    return times
+
+
+def _calls(profile):
+    return sum(entry.callcount for entry in profile.getstats())
