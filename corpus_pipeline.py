@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesmart.llm import jaccard_join, language_id, mixing, packing, toxicity
-from salesmart.llm.common import free_name, id_remainder, stored, table
+from salesmart.llm.common import free_name, id_remainder, perhaps_among, stored, table
 from salesmart.llm.tokens import default_tokenizer
 
 #: A document is rejected whose share of words known in its language is below this part of what
@@ -55,10 +55,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of rows that repeat both id and text one stays; rows of one id and other texts stay or go
     together.
     """
-    found = stored(jaccard_join.join(docs).where("kept").select("doc_id"), "kept")
-    ids = found.select(F.col("doc_id").alias("kept_id"))
-    left = docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
-    if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    found = stored(jaccard_join.join(docs).select("doc_id", "kept"), "kept")
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id")
+    ids = ids.agg(F.max("kept").alias("kept"), F.count_if("kept").alias("times"))
+    ids = stored(ids, "ids")
+    # Most documents stay where they are: only those that may go meet the ids that do.
+    gone = ids.where("NOT kept").select("doc_id")
+    perhaps, left = perhaps_among(docs, gone, "doc_id")
+    left = left.unionByName(perhaps.join(gone, "doc_id", "left_anti"))
+    if not ids.where("times > 1").isEmpty():
         left = left.dropDuplicates(["doc_id", "text"])
     return left
 

@@ -35,6 +35,7 @@ from salesmart.llm.common import (
     find_roots,
     kept_tool,
     per_run,
+    perhaps_among,
     stored,
 )
 from salesmart.llm.tokens import in_portions
@@ -441,13 +442,18 @@ def _candidate_edges(minima: DataFrame, threshold: float, runs: int) -> DataFram
                 )
             )
             break
-        large = sizes.where(F.col("members") > SMALL_BUCKET)
+        # Stored, so that Spark knows how few they are.
+        large = stored(sizes.where(F.col("members") > SMALL_BUCKET).select("bucket"), "large")
         if large.isEmpty():
             break
-        paths = (
-            paths.join(large, "bucket")
-            .join(minima.select("class", "minima"), "class")
-            .mapInPandas(_longer_paths(threshold), "bucket long, class long")
+        paths = stored(paths.join(large, "bucket"), "paths")
+        # Whatever follows is about these classes only.
+        minima = stored(
+            minima.join(paths.select("class").distinct(), "class", "left_semi"), "minima"
+        )
+        # Dealt out by class: a broadcast would leave the work to the few tasks that read paths.
+        paths = paths.join(minima.select("class", "minima").hint("merge"), "class").mapInPandas(
+            _longer_paths(threshold), "bucket long, class long"
         )
     found = edges[0]
     for more in edges[1:]:
@@ -510,8 +516,10 @@ def join(
         "blocks",
         F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"),
     )
-    # How many documents have candidates is not known beforehand: never a broadcast.
-    texts = rows.join(placed.hint("merge"), "doc_id")
+    # How many documents have candidates is not known beforehand: never a broadcast.  Texts of
+    # the others should not be shuffled.
+    wanted, _ = perhaps_among(rows, members.select("class_id"), "doc_id")
+    texts = wanted.join(placed.hint("merge"), "doc_id")
     verified = stored(
         texts.select("group", "block", "blocks", "class", "copies", "text")
         .repartition("group", "block")

@@ -5,6 +5,7 @@ import io
 import random
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pandas as pd
 import pytest
@@ -14,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from salesmart.llm import (
+    common,
     embedding_dedup,
     html_text,
     jaccard_join,
@@ -421,3 +423,69 @@ def _ngram_times(frame, n):
 
 def _calls(profile):
     return sum(entry.callcount for entry in profile.getstats())
+
+
+@pytest.mark.parametrize("most", [2**27, 1])
+def test_rows_perhaps_among_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    keys = spark.range(0, 100_000, 50).selectExpr("id * id - 7 AS some")
+    for kind in ("long", "string"):
+        rows = spark.range(100_000).selectExpr(f"CAST(id * id - 7 AS {kind}) AS doc_id", "'x' AS text")
+        found, rest = common.perhaps_among(rows, keys.selectExpr(f"CAST(some AS {kind})"), "doc_id")
+        assert found.columns == rest.columns == rows.columns
+        assert found.unionByName(rest).exceptAll(rows).isEmpty() and rest.count() == 100_000 - found.count()
+        ids = {row.doc_id for row in found.collect()}
+        assert ids >= {row[0] for row in keys.selectExpr(f"CAST(some AS {kind})").collect()}
+        assert len(ids) == found.count() and (most == 1 or len(ids) < 5_000)
+    none = keys.where("false").selectExpr("'' AS some")
+    assert common.perhaps_among(rows, none, "doc_id")[0].isEmpty()
+
+
+def test_texts_without_candidates_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Nor does the embedding of all classes meet the longer paths of a few."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(1_500)]
+    same = " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2_000))
+    texts += [same + f" {i}" for i in range(jaccard_join.SMALL_BUCKET + 50)]  # a large bucket
+    documents = common.stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "docs")
+    asked, held = [], []
+    plain, stored = jaccard_join.perhaps_among, jaccard_join.stored
+
+    def perhaps_among(*args):
+        asked.append(plain(*args)[0].count())
+        return plain(*args)
+
+    def noted(df, name):
+        out = stored(df, name)
+        if name == "minima":
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "perhaps_among", perhaps_among)
+    monkeypatch.setattr(jaccard_join, "stored", noted)
+    out = jaccard_join.join(documents)
+    assert asked and asked[0] < len(texts) / 2
+    assert held[0] == len(texts) and len(held) > 1 and max(held[1:]) < len(texts) / 2
+    links = {row.doc_id: row.n_links for row in out.collect()}
+    alike = jaccard_join.SMALL_BUCKET + 50
+    assert [links[i] for i in range(len(texts) - alike, len(texts))] == [alike - 1] * alike
+
+
+def test_documents_that_stay_are_not_shuffled(spark, with_settings, tmp_path):
+    """Only those that may go meet the ids that do; repeated and null ids as before."""
+    with_settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(400)]
+    rows = [(i, text) for i, text in enumerate(texts)] + [(1_000 + i, texts[i]) for i in range(40)]
+    # 1,000 repeats its id with a text of its own; 7 both; nulls stay.
+    rows += [(1_000, "a text of its own"), (7, texts[7]), (None, texts[0]), (None, texts[0])]
+    docs = common.stored(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    kept = [(i, text) for i, text in rows if i is None or i <= 1_000]
+    del kept[kept.index((7, texts[7]))]
+    want = Counter(kept)
+    want[None, texts[0]] = 1  # as dropDuplicates has it once an id is repeated
+    assert Counter(map(tuple, left.collect())) == want
+    docs = docs.where("doc_id < 400 OR doc_id > 1000")
+    left = corpus_pipeline.drop_near_copies(spark, docs.distinct(), "")
+    assert "Union" in left._jdf.queryExecution().toString()
