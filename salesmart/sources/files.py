@@ -37,9 +37,13 @@ CSV_WRITE_OPTIONS = {
 }
 
 
-def file_name() -> Column:
+#: The name of the file that a row was read from, as it stands in a URL.
+SPELT = "_metadata.file_name"
+
+
+def file_name(spelt: str = SPELT) -> Column:
     """The name of the file that a row was read from.  Spark has it as it stands in a URL."""
-    return F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+    return F.url_decode(F.replace(spelt, F.lit("+"), F.lit("%2B")))
 
 
 def read_raw_sales(spark: SparkSession, path: str, day: date | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from salesmart.plans import refresh as daily
 from salesmart.plans.scratch import release, stored
 from salesmart.sinks.tables import read_table, write_periods
 from salesmart.sources.files import CSV_WRITE_OPTIONS, read_category_names, read_raw_sales
+from salesmart.streaming import landing
 from salesmart.streaming.landing import ingest_available_now
 
 HEADER = "InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n"
@@ -260,3 +261,22 @@ def test_a_line_break_in_a_text_stops_the_job(spark, tmp_path):
     )
     with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE"):
         read_raw_sales(spark, str(tmp_path)).collect()
+
+
+def test_names_are_taken_apart_once_a_file(spark, tmp_path, monkeypatch):
+    names = ["20101204_a=b {1} 100%+_sales.csv", "new_sales.csv", "20101399_sales.csv"]
+    for name in names:
+        (tmp_path / name).write_text(HEADER + DAYS["20101201"][0] + "\n" + DAYS["20101201"][1] + "\n")
+    files = spark.createDataFrame([(name, False) for name in names], "file string, open boolean")
+
+    def found():
+        raw = landing.read_landed(spark, str(tmp_path), files)
+        return raw, rows(raw.select("load_file", "load_date"))
+
+    raw, named = found()
+    days = [date(2010, 12, 4), None, None]
+    assert named == Counter({pair: 2 for pair in zip(names, days)})
+    assert "BroadcastHashJoin" in raw._jdf.queryExecution().executedPlan().toString()
+    # A name that Spark spells in another way is still known.
+    monkeypatch.setattr(landing, "_spelt", lambda spark, path: "otherwise")
+    assert found()[1] == named

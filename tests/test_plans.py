@@ -208,3 +208,23 @@ def test_stored_staging_has_the_columns_that_are_read(spark):
     stg = registry._stored_stg(spark, SMALL, *registry._OF_CUSTOMERS)
     assert stg.columns == list(registry._OF_CUSTOMERS)
     assert "description" not in stg.columns and "stock_code" not in stg.columns
+
+
+def test_what_an_order_decides_is_worked_out_before_its_lines_are_joined(spark):
+    raw = retail_tables.raw_sales(spark, "/root/testdata/sf0.001")
+    above, below = plan(raw).split("SortMergeJoin", 1)
+    for text in ("not a date", "p_retailprice"):
+        assert text in below and text not in above
+
+
+def test_tasks_are_more_than_cores(spark):
+    settings = (
+        "spark.sql.files.minPartitionNum",
+        "spark.sql.adaptive.coalescePartitions.minPartitionNum",
+    )
+    cores = spark.sparkContext.defaultParallelism
+    with sizing.short_tasks(spark):
+        with sizing.short_tasks(spark, 9):  # the settings are there already
+            assert [spark.conf.get(s) for s in settings] == [str(4 * cores)] * 2
+        assert [spark.conf.get(s) for s in settings] == [str(4 * cores)] * 2
+    assert [spark.conf.get(s, None) for s in settings] == [None, None]
