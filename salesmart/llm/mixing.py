@@ -145,6 +145,7 @@ def _slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         "slot": n,
                     }
                 )
+    drop_tools()
 
 
 def mix(
@@ -306,11 +307,12 @@ def mixed_documents(documents: DataFrame, planned: Mix) -> DataFrame:
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
     taken_rows = rows.join(takes, same).withColumn("take", F.explode("_takes"))
     words = F.aggregate("take", F.lit(0).cast("long"), lambda total, x: total + x["n_words"])
+    taken_rows = taken_rows.withColumn("_part", words != F.col("_size"))
+    # Only what is cut goes to Python: there a text taken whole is a null.
+    cut = [F.when(F.col("_part"), F.col(c)) for c in ("row.text", "take.first_word", "take.n_words")]
     cut = taken_rows.select(
         "row",
-        F.when(words == F.col("_size"), F.col("row.text"))
-        .otherwise(_words_of("row.text", "take.first_word", "take.n_words"))
-        .alias("text"),
+        F.when(F.col("_part"), _words_of(*cut)).otherwise(F.col("row.text")).alias("text"),
     )
     changed = {"text": F.col("text")}
     if "n_chars" in documents.columns:
@@ -321,8 +323,14 @@ def mixed_documents(documents: DataFrame, planned: Mix) -> DataFrame:
 
 
 @F.pandas_udf(StringType())
-def _words_of(texts: pd.Series, first: pd.Series, number: pd.Series) -> pd.Series:
-    return pd.Series([excerpt(t, f, n) for t, f, n in zip(texts, first, number)], dtype=object)
+def _words_of(
+    batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]],
+) -> Iterator[pd.Series]:
+    drop_tools()
+    for batch in batches:
+        parts = [None if row[0] is None else excerpt(*row) for row in zip(*batch)]
+        yield pd.Series(parts, dtype=object)
+    drop_tools()  # a worker that gets no other task keeps nothing
 
 
 def excerpt(text: str, first: Sequence[int], number: Sequence[int]) -> str:

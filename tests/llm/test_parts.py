@@ -3,6 +3,7 @@
 import cProfile
 import io
 import random
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -489,3 +490,31 @@ def test_documents_that_stay_are_not_shuffled(spark, with_settings, tmp_path):
     docs = docs.where("doc_id < 400 OR doc_id > 1000")
     left = corpus_pipeline.drop_near_copies(spark, docs.distinct(), "")
     assert "Union" in left._jdf.queryExecution().toString()
+
+
+def test_mixing_sends_only_cut_texts_to_python(spark):
+    docs = spark.createDataFrame(
+        [(i, " ".join(f"w{i}x{j}" for j in range(150)), "web", 0) for i in range(40)],
+        "doc_id long, text string, source string, n_chars int",
+    )
+    mixed = mixing.mixed_documents(docs, mixing.mix(docs))
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"_words_of\(CASE WHEN", plan), plan
+    # The first pass takes all of the one source, the second the other half of the mix.
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = [(r.doc_id, r.text) for r in mixed.collect()]
+    assert {i for i, text in found if text == texts[i]} == set(texts)
+    parts = [(i, text) for i, text in found if text != texts[i]]
+    assert parts and all(run in texts[i] for i, text in parts for run in text.split("\n"))
+
+
+def test_stored_sends_long_texts_to_python_in_small_batches(spark):
+    texts = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1_000_000).alias("text"))
+
+    def sizes(frames):
+        for frame in frames:
+            yield pd.DataFrame({"size": [int(frame["text"].str.len().sum())]})
+
+    found = [r.size for r in common.stored(texts.mapInPandas(sizes, "size long"), "sizes").collect()]
+    assert sum(found) == 40_000_000
+    assert max(found) <= common.BYTES_AT_A_TIME + 1_000_000
